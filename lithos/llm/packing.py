@@ -125,12 +125,19 @@ def solve(demand: dict[int, int], width: int, gap: float = 0.002, most_columns:
     m = len(lengths)
     columns = np.diag((width // lengths).astype(float))
     x = np.zeros(m)
+    # Sparse forward substitution; no BLAS, whose threads would fight for cores.
+    inverse, below = np.eye(m), [[] for _ in range(m)]
     for n, pattern, done in _basis(demand, width):
         r = row[done]
         columns[:, r] = 0
         columns[[row[k] for k in pattern], r] = list(pattern.values())
         x[r] = n
-    inverse = np.linalg.inv(columns)
+        for j, a in below[r]:
+            inverse[r] -= a * inverse[j]
+        inverse[r] /= pattern[done]
+        for k, a in pattern.items():
+            if k != done:
+                below[row[k]].append((r, a))
     least = float((lengths * need).sum()) / width
     for _ in range(most_columns):
         if x.sum() <= max(least * (1 + gap), least + 0.5):
@@ -141,7 +148,8 @@ def solve(demand: dict[int, int], width: int, gap: float = 0.002, most_columns:
         if value > 0:
             least = max(least, float(duals[lengths] @ need) / value)
         column = pattern[lengths].astype(float)
-        step = inverse @ column
+        some = np.flatnonzero(column)
+        step = (inverse[:, some] * column[some]).sum(axis=1)
         rows = np.flatnonzero(step > 1e-9)
         if step.sum() <= 1 + 1e-9 or not len(rows):  # no reduced cost to gain
             break
