@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithos.llm import decontaminate, packing, secrets
+from lithos.llm import decontaminate, neardup, packing, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_read(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -26,7 +30,8 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_neardup": op2_neardup,
     "op8_secrets": op8_secrets,
     "op10_pack": op10_pack,
 }
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_neardup": neardup.ORACLE}
