@@ -12,11 +12,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy block holds; bounds a Python worker's memory.
 BLOCK = 1 << 20
 
+#: Rows of one group that a ranking task holds, about.
+RANK_ROWS = 4_000
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -144,3 +148,23 @@ def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     raw = b" ".join(texts) + b" "
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     return raw, np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(texts) else np.zeros(0, dtype=np.int64)
+
+
+def ranked(df: DataFrame, group: str, order: list[str], rows_in_task: int = RANK_ROWS, total: int | None = None) -> DataFrame:
+    """Adds ``rank``: gapless from 0 within ``group``. A group of any size is
+    dealt over hash buckets, ranked in each, and shifted by bucket offsets."""
+    total = df.count() if total is None else total
+    n = 1 + total // rows_in_task
+    hashed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)))
+    sizes = hashed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(
+        F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_shift")
+    )
+    inner = Window.partitionBy(group, "_bucket").orderBy(*order)
+    return (
+        hashed.withColumn("_rn", F.row_number().over(inner) - 1)
+        .join(shifts, (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
+        .withColumn("rank", F.col("_rn") + F.col("_shift"))
+        .drop("_rn", "_shift", "_g", "_b", "_bucket")
+    )

@@ -24,14 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm._common import chunks, cut, ship
-
-#: Rows of one length that a ranking task holds, about.
-RANK_ROWS = 4_000
-
+from lithos.llm._common import chunks, cut, ranked, ship
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str):
@@ -238,26 +234,6 @@ def plan(histogram: dict[int, int], width: int, gap: float = 0.002) -> np.ndarra
 # ------------------------------------------------------------ the whole corpus
 
 
-def ranked(df: DataFrame, group: str, order: list[str], rows_in_task: int = RANK_ROWS, total: int | None = None) -> DataFrame:
-    """Adds ``rank``: gapless from 0 within ``group``. A group of any size is
-    dealt over hash buckets, ranked in each, and shifted by bucket offsets."""
-    total = df.count() if total is None else total
-    n = 1 + total // rows_in_task
-    hashed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)))
-    sizes = hashed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_shift")
-    )
-    inner = Window.partitionBy(group, "_bucket").orderBy(*order)
-    return (
-        hashed.withColumn("_rn", F.row_number().over(inner) - 1)
-        .join(shifts, (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn("rank", F.col("_rn") + F.col("_shift"))
-        .drop("_rn", "_shift", "_g", "_b", "_bucket")
-    )
-
-
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 1024, end_id: int = 0, ranks: str | None = None, gap: float = 0.002) -> DataFrame:
     """One row per piece with its ``sequence_id`` and ``offset``."""
     cutup = cut(pieces(docs, id_col=id_col, text_col=text_col, width=width, end_id=end_id, ranks=ranks))
