@@ -39,17 +39,23 @@ def ship(spark: SparkSession) -> None:
     sc._lithos_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, local mode) a folder of our own is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors
+    share. Only where that is unset (tests, local mode) one of our own is set."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        folder = getattr(sc, "_lithos_folder", None)
+        if folder is None:
+            folder = sc._lithos_folder = os.path.join(tempfile.gettempdir(), f"lithos-{uuid.uuid4().hex}")
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or os.path.join(
-            tempfile.gettempdir(), f"lithos-checkpoints-{uuid.uuid4().hex}"
-        )
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

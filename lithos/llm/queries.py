@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithos.llm import chat, decontaminate, fingerprint, html_text, langid, neardup, packing, reshard, secrets
+from lithos.llm import chat, decontaminate, fingerprint, html_text, langid, neardup, packing, quality, reshard, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(_read(spark, sf_dir, "documents"))
 
@@ -53,10 +57,11 @@ QUERIES = {
     "op2_neardup": op2_neardup,
     "op3_langid": op3_langid,
     "op4_html_text": op4_html_text,
+    "op5_quality": op5_quality,
     "op6_fingerprint": op6_fingerprint,
     "op7_chat": op7_chat,
     "op8_secrets": op8_secrets,
     "op9_reshard": op9_reshard,
     "op10_pack": op10_pack,
 }
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_neardup": neardup.ORACLE, "op7_chat": chat.ORACLE}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_neardup": neardup.ORACLE, "op5_quality": quality.ORACLE, "op7_chat": chat.ORACLE}
