@@ -3,9 +3,7 @@ cutting lineage, and vectorised word hashing over UTF-8 bytes."""
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lithos.lineage import cut, shared_folder
+
+__all__ = ["BLOCK", "Words", "chunks", "cut", "joined", "mix", "ranked", "shared_folder", "ship", "texts_as_bytes", "window_hashes"]
+
 #: Bytes of text that one numpy block holds; bounds a Python worker's memory.
 BLOCK = 1 << 20
 
@@ -39,26 +41,6 @@ def ship(spark: SparkSession) -> None:
     sc._lithos_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which driver and executors
-    share. Only where that is unset (tests, local mode) one of our own is set."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        folder = getattr(sc, "_lithos_folder", None)
-        if folder is None:
-            folder = sc._lithos_folder = os.path.join(tempfile.gettempdir(), f"lithos-{uuid.uuid4().hex}")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser, so that high bits are uniform."""
     x = x ^ (x >> np.uint64(30))

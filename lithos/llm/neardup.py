@@ -49,6 +49,9 @@ LIST_ROWS = 32
 #: Least share of the union sketch that both must hold; a pair of similarity
 #: 0.75 falls below it with a probability of about 1e-11.
 FLOOR = 0.375
+#: Of a sketch, so many of the smallest values may stand in a hot list: two sets
+#: of similarity 0.75 share none of them with a probability of 0.25 ** 16.
+HOT_VALUES = 16
 #: Slots of the filter that tells which texts a comparison needs.
 SLOTS = 1 << 22
 ROUNDS = 4
@@ -102,6 +105,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return source.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
 
 
+def _outside(x: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Hashes of ``x`` outside the other set. Where they are more than half, a
+    partner of similarity 0.75 shares a third of them at least, so their own
+    sketch is enough to meet it."""
+    out = x[~inside]
+    return out if 2 * len(out) <= len(x) else out[:SKETCH]
+
+
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, star`` to ``a, b, star, na, nb, both, rest``: exact sizes of the
     sets and of their intersection, and for stars the hashes of a outside b."""
@@ -129,7 +140,7 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     "na": pa.array([len(x) for x in left], pa.int64()),
                     "nb": pa.array([len(x) for x in right], pa.int64()),
                     "both": pa.array([int(x.sum()) for x in inside], pa.int64()),
-                    "rest": pa.array([_signed(x[~m]) if s else [] for x, m, s in zip(left, inside, stars, strict=True)], pa.list_(pa.int64())),
+                    "rest": pa.array([_signed(_outside(x, m)) if s else [] for x, m, s in zip(left, inside, stars, strict=True)], pa.list_(pa.int64())),
                 }
                 names = ["a", "b", "star", "na", "nb", "both", "rest"]
                 yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
@@ -181,10 +192,10 @@ def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, k: in
     """Exact links ``a, b`` between representatives that suffice for the
     components."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    postings = sets.select("rep", "n", F.explode("sketch").alias("v"))
+    postings = sets.select("rep", "n", F.posexplode("sketch").alias("place", "v"))
     cold, hot = _split(postings, list_rows)
     mostly = hot.groupBy("rep").agg(F.count(F.lit(1)).alias("h")).join(sets.select("rep", F.size("sketch").alias("z")), "rep").where("2 * h > z").select("rep", "h")
-    hot = cut(hot.drop("c").join(mostly, "rep"))
+    hot = cut(hot.where(F.col("place") < HOT_VALUES).join(mostly, "rep").select("v", "rep", "n", "h"))
     pairs = _pairs_in_lists(cold)
     found = []
     for turn in range(rounds + 1):
