@@ -102,30 +102,20 @@ def _scan(texts: list[bytes], windows: WindowSet, spans_before: list, items_befo
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    width: int = 10,
-    keep: tuple[str, ...] = (),
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """One row per document: ``n_words``, ``n_hit``, ``items`` (ids of the items
-    with an occurring window) and ``spans`` (UTF-8 byte ranges of hit runs of
-    words), plus the columns named in ``keep`` and the text."""
+_FOUND = ("_n_words", "_n_hit", "_items", "_spans")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text_col: str, item_id: str, item_text: str, width: int, block_bytes: int) -> DataFrame:
+    """``_k0, _k1, ..`` for the kept columns, ``_text`` and what was found: names
+    of their own, so that no column of ``docs`` can clash."""
     spark = docs.sparkSession
     ship(spark)
-    cols = [id_col, *(c for c in keep if c not in (id_col, text_col)), text_col]
-    out = docs.select(*cols).withColumns(
+    out = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text")).withColumns(
         {
-            "n_words": F.lit(0).cast("long"),
-            "n_hit": F.lit(0).cast("long"),
-            "items": F.expr("cast(array() as array<bigint>)"),
-            "spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
+            "_n_words": F.lit(0).cast("long"),
+            "_n_hit": F.lit(0).cast("long"),
+            "_items": F.expr("cast(array() as array<bigint>)"),
+            "_spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
         }
     )
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
@@ -138,19 +128,19 @@ def contamination(
         windows = spark.sparkContext.broadcast(WindowSet(rows, width))
 
         def scan(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, text_col):
+            for batch in chunks(batches, "_text"):
                 at = batch.schema.get_field_index
                 n_words, n_hit, spans, found = _scan(
-                    texts_as_bytes(batch, text_col),
+                    texts_as_bytes(batch, "_text"),
                     windows.value,
-                    [[(x["start"], x["end"]) for x in s] for s in batch.column(at("spans")).to_pylist()],
-                    batch.column(at("items")).to_pylist(),
+                    [[(x["start"], x["end"]) for x in s] for s in batch.column(at("_spans")).to_pylist()],
+                    batch.column(at("_items")).to_pylist(),
                 )
                 new = {
-                    "n_words": pa.array(n_words, pa.int64()),
-                    "n_hit": pa.array(n_hit, pa.int64()),
-                    "items": pa.array([sorted(x for x in f if x is not None) for f in found], pa.list_(pa.int64())),
-                    "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
+                    "_n_words": pa.array(n_words, pa.int64()),
+                    "_n_hit": pa.array(n_hit, pa.int64()),
+                    "_items": pa.array([sorted(x for x in f if x is not None) for f in found], pa.list_(pa.int64())),
+                    "_spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
                 }
                 names = batch.schema.names
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(at(c))) for c in names], names=names)
@@ -159,40 +149,67 @@ def contamination(
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", text_col: str = "text", **kw) -> DataFrame:
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    width: int = 10,
+    keep: tuple[str, ...] = ("doc_id",),
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The columns in ``keep``, then ``n_words``, ``n_hit``, ``items`` (ids of the
+    items with an occurring window) and ``spans`` (UTF-8 byte ranges of hit runs
+    of words)."""
+    found = _found(docs, benchmark, keep, text_col, item_id, item_text, width, block_bytes)
+    return found.drop("_text").toDF(*keep, "n_words", "n_hit", "items", "spans")
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    remove: str = "documents",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    width: int = 10,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """Documents without contamination, with the columns of ``docs``.
 
     ``remove="documents"`` drops every document with a hit; ``"spans"`` keeps
     it and cuts the hit runs of words from its text."""
+    if remove not in ("documents", "spans"):
+        raise ValueError("remove is 'documents' or 'spans'")
     cols = docs.columns
+    found = _found(docs, benchmark, tuple(cols), text_col, item_id, item_text, width, block_bytes)
     if remove == "documents":
-        return contamination(docs, benchmark, text_col=text_col, keep=tuple(cols), **kw).where("n_hit = 0").select(*cols)
-    if remove != "spans":
-        raise ValueError("remove is 'documents' or 'spans'")
-    found = contamination(docs, benchmark, text_col=text_col, keep=tuple(cols), **kw)
+        return found.where("_n_hit = 0").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(cols)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col):
-            k = batch.schema.get_field_index(text_col)
-            texts = batch.column(k).cast(pa.large_binary()).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
+        for batch in chunks(batches, "_text"):
+            texts = batch.column(len(cols)).cast(pa.large_binary()).to_pylist()
+            spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
             for i, (t, ss) in enumerate(zip(texts, spans, strict=True)):
                 for s in reversed(ss):
                     t = t[: s["start"]] + t[s["end"] :]
                 texts[i] = t
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in cols]
+            arrays = list(batch.columns[: len(cols)])
             arrays[cols.index(text_col)] = pa.array([None if t is None else t.decode() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=cols)
 
     return found.mapInArrow(cut, docs.schema)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
     """The digest of :func:`contamination`: counts, the hash of the item ids
     sorted as strings, and the verdict."""
-    found = contamination(docs, benchmark, **kw)
+    found = contamination(docs, benchmark, keep=(id_col,), **kw)
     return found.select(
-        kw.get("id_col", "doc_id"),
+        id_col,
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
