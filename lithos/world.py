@@ -247,6 +247,15 @@ class World:
             out = out.join(firsts, ID).withColumn("value", F.when(F.col("pos") == F.col("_first"), F.col("value")))
         return out.select("pos", "value")
 
+    def _holding(self, ids: DataFrame) -> list[tuple[tuple[str, frozenset[str]], Archetype]]:
+        """The archetypes that hold any of the ids: one job, a row for each."""
+        items = list(self.archetypes.items())
+        parts = [a.frame.select(ID, F.lit(k).alias("_k")) for k, (_, a) in enumerate(items)]
+        if not parts:
+            return []
+        hit = functools.reduce(DataFrame.union, parts).join(ids.select(ID), ID, "left_semi").select("_k").distinct().collect()
+        return [items[k] for k in sorted(r[0] for r in hit)]
+
     # ----------------------------------------------------------- mutations
 
     def _budget(self, rows: int) -> None:
@@ -314,7 +323,7 @@ class World:
         live = cut(self.entities().join(gone, ID, "left_semi"))
         n = live.count()
         if n:
-            for a in self.archetypes.values():
+            for _, a in self._holding(live):
                 a.frame = a.frame.join(live, ID, "left_anti")
                 self.touch(a, a.components)
             self.sparse = {k: v.join(live, ID, "left_anti") for k, v in self.sparse.items()}
@@ -338,7 +347,7 @@ class World:
         values = cut(values)
         if strict and not values.join(self.entities(), ID, "left_anti").isEmpty():
             raise DeadEntity("insert into an entity that isn't alive")
-        for key, a in list(self.archetypes.items()):
+        for key, a in self._holding(values):
             both = a.frame.join(values.select(ID, *[F.col(c).alias(f"_new_{c}") for c in new]), ID)
             if set(new) <= a.components:
                 marks = values.select(ID, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in new])
@@ -349,10 +358,9 @@ class World:
             else:
                 moved = both.select(ID, *[c for c in sorted(a.components) if c not in new], *[F.col(f"_new_{c}").alias(c) for c in new])
                 moved = cut(moved)
-                if not moved.isEmpty():
-                    a.frame = a.frame.join(moved.select(ID), ID, "left_anti")
-                    self.touch(a, a.components)
-                    self._put(a.components | set(new), moved, key[0])
+                a.frame = a.frame.join(moved.select(ID), ID, "left_anti")
+                self.touch(a, a.components)
+                self._put(a.components | set(new), moved, key[0])
 
     def remove(self, entity: int, component: str) -> Any:
         """Drop a component; its old value, or None."""
