@@ -11,7 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lithos.lineage import shared_folder
 from lithos.llm import decontaminate, langid, neardup, packing, secrets
+from lithos.sources import storage
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,15 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared checkpoint folder and read again."""
-    from lithos.llm._common import shared_folder
-
+    """All stages, each written to the shared checkpoint folder and read again.
+    A stage's files go once the next one is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            storage.delete(spark, f"{folder}/{last}")
+        last = name
+    return STAGES[-1][1](spark, docs, sf_dir)
