@@ -67,3 +67,30 @@ def test_circuit_is_bounded(spark):
     sets = spark.createDataFrame([(1, 1e3, 1e4, 1e-7, 0.1, 100.0, 1e-6, 2.0)], "sim int, r1 double, r2 double, c double, l double, rl double, cl double, gain double")
     rows = kernels.circuit(spark, sets, 500).collect()
     assert len(rows) == 500 and {r.v_555 for r in rows} == {0.0, 5.0} and all(abs(r.v_opamp) <= 5 for r in rows)
+
+
+def test_builtin_reducers(spark):
+    from lithos.components import register_all
+    from lithos.operators.builtin import register_builtin
+    from lithos.operators.reducers import ReducerRegistry
+    from lithos.world import World
+
+    w, r = World(spark), ReducerRegistry()
+    register_all(w)
+    assert len(register_builtin(r)) == 7
+    boid = w.spawn(Position=(1.0, 1.0), Velocity=(1.0, 0.0), Acceleration=(0.5, 0.0))
+    worm = w.spawn(Position=(0.0, 0.0), Heading=(0.0,), Energy=(100.0,), WormSize=(1.0,))
+    r.run(w, "boids_integrate", dt=2.0)
+    assert w.get(boid, "Position").pos_x == pytest.approx(5.0)
+    r.run(w, "boids_forces")
+    r.run(w, "worm_move", speed=3.0)
+    r.run(w, "worm_metabolism", rate=90.0)
+    assert w.get(worm, "Position").pos_x == pytest.approx(3.0) and w.get(worm, "WormSize").worm_size == pytest.approx(0.9)
+    cells = World(spark)
+    register_all(cells)
+    for i in range(9):
+        cells.spawn(CellState=(i < 3,))
+    with pytest.raises(ValueError):
+        r.run(cells, "life_step", width=2, height=3)
+    r.run(cells, "life_step", width=3, height=3)
+    assert cells.scan(["CellState"]).where("CellState.alive").count() == 9

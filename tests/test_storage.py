@@ -106,3 +106,25 @@ def test_metrics(spark):
 def test_orphans(spark):
     dead = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "k string")
     assert [r[0] for r in snapshot.orphans(dead, spark.createDataFrame([("a",)], "k string"), "k").collect()] == ["b"]
+
+
+def test_checkpoint_and_recovery(spark, tmp_path):
+    from lithos.sources.checkpoint import AutoCheckpoint, recover, release
+
+    wal = Wal(spark, str(tmp_path / "log"), limit_bytes=1, on_checkpoint=AutoCheckpoint(str(tmp_path / "snap")))
+    w, strategy = make(spark), None
+    strategy = Durable(Optimistic(), wal)
+    e = strategy.transact(w, lambda tx: tx.spawn(A=1))
+    assert wal.records() == []
+    wal.on_checkpoint = None
+    strategy.transact(w, lambda tx: tx.write(e, A=7))
+    got = recover(spark, str(tmp_path / "snap"), Wal(spark, str(tmp_path / "log")), make(spark))
+    assert got.get(e, "A") == 7
+
+    class Store:
+        def on_orphaned(self, keys):
+            self.keys = [r[0] for r in keys.collect()]
+
+    s = Store()
+    release(spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("b",)], "k string"), "k", s)
+    assert s.keys == ["a"]
