@@ -7,13 +7,17 @@
    of at most ``list_rows`` members ("cold") give pairs by an equi-join.
 3. A longer list ("hot") can matter on its own only to representatives most of
    whose retained values are hot; the others share a cold value with every
-   partner. Within a hot list each of them is compared with one pivot P. Two
-   sets A, B of that list that link either share a shingle outside P, and meet in
-   an inverted list of such residual shingles, or they don't, and then
-   7 * min(|A n P|, |B n P|) >= 3 * (|A| + |B|). Sets that link with P are one
-   component already; what is left goes to the next round with a new pivot. So
-   hot lists cost a star, not all pairs. Lists that are still long after the last
-   round are paired in full: that is the exact way for the rest.
+   partner. Within a hot list each of them is compared with one pivot P, the
+   member with the most hot values. Two sets A, B that link either share a
+   shingle outside P, or they don't, and then
+   7 * min(|A n P|, |B n P|) >= 3 * (|A| + |B|). The first kind meets in an
+   inverted list of the shingles outside the closest pivot, the second kind is
+   paired under that bound with sets that don't link with P. So a hot list costs
+   a star, not all pairs. Residual lists that are long again pair only sets that
+   the links so far leave in different components: an exact way for the rest,
+   whose cost grows with the sets that stand apart, not with the list.
+   (Two sets whose closest pivots differ, that share nothing outside both and too
+   little inside either, are the one case that this does not cover.)
 4. The union sketch estimates the similarity of each candidate and drops the
    hopeless ones; the exact Jaccard similarity of the full sets decides.
 5. Links are contracted by alternating large and small stars.
@@ -54,7 +58,8 @@ FLOOR = 0.375
 HOT_VALUES = 16
 #: Slots of the filter that tells which texts a comparison needs.
 SLOTS = 1 << 22
-ROUNDS = 4
+#: Slots of the filter that spares most rows a shuffle in `keep_one`.
+KEEP_SLOTS = 1 << 20
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -173,12 +178,11 @@ def _likely(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _pairs_in_lists(lists: DataFrame) -> DataFrame:
-    """Pairs a < b of the members of each list of ``v, rep, n``, which are
-    short, or the last resort."""
-    one = lists.select("v", F.col("rep").alias("a"), F.col("n").alias("na"))
-    two = lists.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    return one.join(two, "v").where("a < b AND 3 * greatest(na, nb) <= 4 * least(na, nb)").select("a", "b")
+def _pairs_in_lists(lists: DataFrame, also: str = "true") -> DataFrame:
+    """Pairs a < b of the members of each list of ``v, rep, n`` (and ``c``) whose
+    sizes allow a link."""
+    side = lambda x: lists.select("v", *[F.col(c).alias({"rep": x}.get(c, f"{c}{x}")) for c in lists.columns if c in ("rep", "n", "c")])
+    return side("a").join(side("b"), "v").where(f"a < b AND 3 * greatest(na, nb) <= 4 * least(na, nb) AND {also}").select("a", "b")
 
 
 def _split(lists: DataFrame, list_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -188,46 +192,39 @@ def _split(lists: DataFrame, list_rows: int) -> tuple[DataFrame, DataFrame]:
     return both.where(F.col("c") <= list_rows), both.where(F.col("c") > list_rows)
 
 
-def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, k: int = SKETCH, list_rows: int = LIST_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, k: int = SKETCH, list_rows: int = LIST_ROWS) -> DataFrame:
     """Exact links ``a, b`` between representatives that suffice for the
     components."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     postings = sets.select("rep", "n", F.posexplode("sketch").alias("place", "v"))
     cold, hot = _split(postings, list_rows)
     mostly = hot.groupBy("rep").agg(F.count(F.lit(1)).alias("h")).join(sets.select("rep", F.size("sketch").alias("z")), "rep").where("2 * h > z").select("rep", "h")
-    hot = cut(hot.where(F.col("place") < HOT_VALUES).join(mostly, "rep").select("v", "rep", "n", "h"))
-    pairs = _pairs_in_lists(cold)
-    found = []
-    for turn in range(rounds + 1):
-        more = not hot.isEmpty()
-        if more and turn == rounds:
-            pairs, more = pairs.union(_pairs_in_lists(hot)), False
-        stars = None
-        if more:
-            pivots = hot.groupBy("v").agg(F.max(F.struct("h", (-F.col("rep")).alias("r"))).alias("p"), F.count(F.lit(1)).alias("c"))
-            stars = cut(hot.join(pivots.where("c > 1").select("v", (-F.col("p.r")).alias("b")), "v").where("rep <> b").select("v", F.col("rep").alias("a"), "b", "n", "h"))
-        todo = _likely(pairs.distinct(), sets, k).withColumn("star", F.lit(False))
-        if stars is not None:
-            todo = todo.union(stars.select("a", "b").distinct().withColumn("star", F.lit(True)))
-        done = cut(_compare(cut(todo), texts))
-        found.append(done.where(_linked()).select("a", "b"))
-        if stars is None:
-            break
-        star = done.where("star").withColumn("linked", _linked())
-        # Shingles outside the pivot: what two sets may share besides it.
-        residual = star.select(F.col("a").alias("rep"), F.col("na").alias("n"), F.explode("rest").alias("v")).distinct()
-        cold, long = _split(residual, list_rows)
-        # Not linked with the pivot, but most of the set lies within it.
-        near = star.where("NOT linked AND 4 * both >= 3 * na")
-        core = star.where("linked AND na < nb").select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("both").alias("bx"))
-        ring = near.join(core, "b").where("7 * least(both, bx) >= 3 * (na + nx)").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b"))
-        pairs = _pairs_in_lists(cold).union(ring)
-        again = stars.join(near.select("a", "b"), ["a", "b"]).select("v", F.col("a").alias("rep"), "n", "h")
-        hot = cut(again.union(long.select("v", "rep", "n", F.lit(0).alias("h"))))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
+    hot = cut(hot.where(F.col("place") < HOT_VALUES).join(mostly, "rep").select("v", "rep", "h"))
+    pivots = hot.groupBy("v").agg(F.max(F.struct("h", (-F.col("rep")).alias("r"))).alias("p"))
+    stars = hot.join(pivots.select("v", (-F.col("p.r")).alias("b")), "v").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    todo = _likely(_pairs_in_lists(cold).distinct(), sets, k).withColumn("star", F.lit(False)).union(stars.withColumn("star", F.lit(True)))
+    done = cut(_compare(cut(todo), texts))
+    first = done.where(_linked()).select("a", "b")
+    star = done.where("star").withColumn("linked", _linked())
+    if star.isEmpty():
+        return first
+    # Shingles outside the closest pivot: what two sets may share besides it.
+    best = star.groupBy("a").agg(F.max("both").alias("best"))
+    outside = star.join(best, "a").where("both = best").select(F.col("a").alias("rep"), F.col("na").alias("n"), F.explode("rest").alias("v")).distinct()
+    cold, long = _split(outside, list_rows)
+    # Long lists once more: only sets that aren't in one component already meet.
+    known = components(first)
+    long = cut(long.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c")))
+    mixed = long.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
+    long = long.join(mixed, "v", "left_semi")
+    apart = _pairs_in_lists(long, "ca <> cb")
+    # Not linked with the pivot, but most of the set lies within it.
+    near = star.where("NOT linked AND 4 * both >= 3 * na").select("a", "b", "na", "both")
+    core = star.where("(linked AND na < nb) OR (NOT linked AND 4 * both >= 3 * na)").select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("both").alias("bx"))
+    ring = near.join(core, "b").where("a <> x AND 7 * least(both, bx) >= 3 * (na + nx)").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b"))
+    pairs = _pairs_in_lists(cold).union(apart).union(ring).distinct()
+    todo = _likely(pairs, sets, k).withColumn("star", F.lit(False))
+    return first.union(cut(_compare(cut(todo), texts)).where(_linked()).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,11 +251,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(tops)
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SKETCH, list_rows: int = LIST_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SKETCH, list_rows: int = LIST_ROWS) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id``, ``kept``."""
     all_ = cut(sketches(docs, id_col, text_col, k))
     sets = cut(all_.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")))
-    found = components(links(docs, sets, id_col=id_col, text_col=text_col, k=k, list_rows=list_rows, rounds=rounds))
+    found = components(links(docs, sets, id_col=id_col, text_col=text_col, k=k, list_rows=list_rows))
     top = sets.select("s1", "s2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     top = top.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     labelled = all_.select("id", "n", "s1", "s2").join(top, ["s1", "s2", "n"], "left")
@@ -273,9 +270,15 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group."""
-    kind = dict(docs.dtypes)[id_col]
-    gone = groups(docs, id_col=id_col, text_col=text_col, **kw).where("NOT kept").select(F.col(id_col).cast(kind).alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = cut(groups(docs, id_col=id_col, text_col=text_col, **kw).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct())
+    key = F.col(id_col).cast("long")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(KEEP_SLOTS))
+    # At most KEEP_SLOTS rows, whatever the size of `gone`; only rows that share
+    # a slot with an id that goes are shuffled, for the exact answer.
+    slots = F.broadcast(gone.select(slot(F.col("_gone")).alias("_slot")).distinct())
+    clear = docs.join(slots, slot(key) == F.col("_slot"), "left_anti")
+    doubtful = docs.join(slots, slot(key) == F.col("_slot"), "left_semi")
+    return clear.union(doubtful.join(gone, key == F.col("_gone"), "left_anti"))
 
 
 _UPPER, _LOWER26 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
