@@ -52,48 +52,46 @@ def as_text(sketch: str) -> Column:
     return F.concat_ws("", F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")))
 
 
-def with_next(df: DataFrame, id_col: str, size: Column, cols: list[str], bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Adds ``next_<col>``: the values of the next row by descending id; after
-    the last comes the first. ``df`` has no null ids below those that come last.
-
-    Rows are dealt over ranges of ids found from quantiles; each range is sorted,
-    and the first row of every range, a row for each, goes to the range before."""
+def with_next(df: DataFrame, bucket_bytes: int = BUCKET_BYTES, scale: int = SCALE) -> DataFrame:
+    """``doc_id, text`` with ``sketch``, ``next_text`` and ``next_sketch``: those
+    of the next row by descending id; after the last comes the first.
+
+    Rows are dealt once, over ranges of ids found from quantiles. The first row
+    of every range also goes, marked, to the end of the range before, so that one
+    sort in each range finds every neighbour. What the driver holds is one id for
+    each range."""
     spark = df.sparkSession
-    total = df.agg(F.sum(size)).first()[0] or 0
+    total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = int(min(MOST_BUCKETS, max(4 * tasks, total // bucket_bytes)))
     shares = F.array(*[F.lit(k / n) for k in range(1, n)])
-    bounds = sorted(set(df.agg(F.percentile_approx(id_col, shares, F.lit(10 * n))).first()[0] or []), reverse=True) if n > 1 else []
+    bounds = sorted(set(df.agg(F.percentile_approx("doc_id", shares, F.lit(10 * n))).first()[0] or []), reverse=True) if n > 1 else []
     # Two levels of about sqrt(n) bounds: few comparisons for a row.
     width = max(1, int(len(bounds) ** 0.5))
     rows = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    key = F.col(id_col)
+    key = F.col("doc_id")
+    bucket = F.lit(0)
     if rows:
-        last = F.array(*[F.lit(r[-1]) for r in rows])
-        row = F.size(F.filter(last, lambda b: key < b))
-        inner = F.get(F.array(*[F.array(*[F.lit(x) for x in r]) for r in rows]), row)
-        bucket = F.coalesce(row * F.lit(width) + F.size(F.filter(F.coalesce(inner, F.expr("cast(array() as array<bigint>)")), lambda b: key < b)), F.lit(len(bounds) + 1))
-    else:
-        bucket = F.lit(0)
+        none = F.expr("cast(array() as array<bigint>)")
+        row = F.size(F.filter(F.array(*[F.lit(r[-1]) for r in rows]), lambda b: key < b))
+        inner = F.coalesce(F.get(F.array(*[F.array(*[F.lit(x) for x in r]) for r in rows]), row), none)
+        bucket = F.when(key.isNull(), F.lit(len(bounds) + 1)).otherwise(row * F.lit(width) + F.size(F.filter(inner, lambda b: key < b)))
     df = df.withColumn("_bucket", bucket.cast("int"))
-    order = Window.partitionBy("_bucket").orderBy(key.desc_nulls_last(), *[F.col(c).desc() for c in cols[:1]])
-    out = df.withColumn("_next", F.lead(F.struct(*cols)).over(order))
-    firsts = df.groupBy("_bucket").agg(F.max(F.struct(key.isNotNull().alias("_some"), key.alias("_k"), *cols)).alias("_f"))
-    # Of each range, the range after it that has rows; a row for each range.
-    filled = sorted(r[0] for r in df.select("_bucket").distinct().collect())
-    after = {b: filled[(i + 1) % len(filled)] for i, b in enumerate(filled)}
-    follow = spark.createDataFrame([(a, b) for b, a in after.items()], "_bucket int, _before int")
-    heads = firsts.join(F.broadcast(follow), "_bucket").select(F.col("_before").alias("_bucket"), F.struct(*[F.col("_f")[c].alias(c) for c in cols]).alias("_head"))
-    ends = out.where("_next IS NULL").join(heads, "_bucket").withColumn("_next", F.col("_head")).drop("_head")
-    both = out.where("_next IS NOT NULL").unionByName(ends)
-    return both.select("*", *[F.col("_next")[c].alias(f"next_{c}") for c in cols]).drop("_next", "_bucket")
+    tops = sorted((r[0], r[1]) for r in df.groupBy("_bucket").agg(F.max("doc_id")).collect())
+    before = [(b, top, tops[k - 1][0]) for k, (b, top) in enumerate(tops)]
+    table = spark.createDataFrame(before, "_b int, _top bigint, _before int")
+    # One row for each range.
+    heads = df.join(F.broadcast(table), (F.col("_bucket") == F.col("_b")) & key.eqNullSafe(F.col("_top"))).groupBy("_before").agg(F.max("text").alias("text"))
+    marked = heads.select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.col("_before").alias("_bucket"), F.lit(True).alias("_head"))
+    dealt = df.select("doc_id", "text", "_bucket", F.lit(False).alias("_head")).unionByName(marked).repartition("_bucket")
+    order = Window.partitionBy("_bucket").orderBy("_head", key.desc_nulls_last(), F.col("text").desc())
+    both = with_sketch(dealt, "text", "sketch", scale).withColumn("_next", F.lead(F.struct("text", "sketch")).over(order))
+    return both.where("NOT _head").select("doc_id", "text", "sketch", F.col("_next.text").alias("next_text"), F.col("_next.sketch").alias("next_sketch"))
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = with_sketch(base, "text", "sketch", scale)
-    df = with_next(base, "doc_id", F.octet_length("text"), ["text", "sketch"])
+    df = with_next(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), scale=scale)
     df = df.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     keep = (F.col("n_chars") - half).cast("int")
