@@ -76,7 +76,7 @@ def scan_optional_component(spark, sf_dir):
 
 @query
 def get_batch_order_dups(spark, sf_dir):
-    asks = spark.createDataFrame([(0, 5), (1, 5), (2, -1), (3, 1)], f"pos int, {ID} bigint")
+    asks = spark.sql(f"SELECT pos, {ID} FROM VALUES (0, 5L), (1, 5L), (2, -1L), (3, 1L) AS t(pos, {ID})")
     return world(spark, sf_dir, "part").get_batch(asks, "p_size").withColumnRenamed("value", "p_size")
 
 
