@@ -11,13 +11,12 @@
    member with the most hot values. Two sets A, B that link either share a
    shingle outside P, or they don't, and then
    7 * min(|A n P|, |B n P|) >= 3 * (|A| + |B|). The first kind meets in an
-   inverted list of the shingles outside the closest pivot, the second kind is
-   paired under that bound with sets that don't link with P. So a hot list costs
-   a star, not all pairs. Residual lists that are long again pair only sets that
-   the links so far leave in different components: an exact way for the rest,
-   whose cost grows with the sets that stand apart, not with the list.
-   (Two sets whose closest pivots differ, that share nothing outside both and too
-   little inside either, are the one case that this does not cover.)
+   inverted list of P and a shingle outside it, kept for every P that a set is
+   compared with; the second kind is paired under that bound with sets that
+   don't link with P. So a hot list costs a star, not all pairs. Of the lists
+   outside P only pairs count that the links so far leave in different
+   components: an exact way for the rest, whose cost grows with the sets that
+   stand apart, not with the list.
 4. The union sketch estimates the similarity of each candidate and drops the
    hopeless ones; the exact Jaccard similarity of the full sets decides.
 5. Links are contracted by alternating large and small stars.
@@ -178,11 +177,11 @@ def _likely(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _pairs_in_lists(lists: DataFrame, also: str = "true") -> DataFrame:
-    """Pairs a < b of the members of each list of ``v, rep, n`` (and ``c``) whose
-    sizes allow a link."""
-    side = lambda x: lists.select("v", *[F.col(c).alias({"rep": x}.get(c, f"{c}{x}")) for c in lists.columns if c in ("rep", "n", "c")])
-    return side("a").join(side("b"), "v").where(f"a < b AND 3 * greatest(na, nb) <= 4 * least(na, nb) AND {also}").select("a", "b")
+def _pairs_in_lists(lists: DataFrame) -> DataFrame:
+    """Pairs a < b of the members of each list of ``v, rep, n`` whose sizes allow
+    a link."""
+    side = lambda x: lists.select("v", F.col("rep").alias(x), F.col("n").alias(f"n{x}"))
+    return side("a").join(side("b"), "v").where("a < b AND 3 * greatest(na, nb) <= 4 * least(na, nb)").select("a", "b")
 
 
 def _split(lists: DataFrame, list_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -208,21 +207,26 @@ def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, k: in
     star = done.where("star").withColumn("linked", _linked())
     if star.isEmpty():
         return first
-    # Shingles outside the closest pivot: what two sets may share besides it.
-    best = star.groupBy("a").agg(F.max("both").alias("best"))
-    outside = star.join(best, "a").where("both = best").select(F.col("a").alias("rep"), F.col("na").alias("n"), F.explode("rest").alias("v")).distinct()
-    cold, long = _split(outside, list_rows)
-    # Long lists once more: only sets that aren't in one component already meet.
+    # Shingles outside a pivot: what two sets of its star may share besides it. The
+    # lists hold the pivot and the shingle, so two members of a hot list always
+    # meet relative to its pivot. One of each pair must stand apart from the
+    # pivot's component; sets of one component needn't meet. (A collision of the
+    # hash only adds a candidate.)
     known = components(first)
-    long = cut(long.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c")))
-    mixed = long.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
-    long = long.join(mixed, "v", "left_semi")
-    apart = _pairs_in_lists(long, "ca <> cb")
+    of = lambda x: known.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    placed = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "na", "rest", F.coalesce("ca", "a").alias("c"), F.coalesce("cb", "b").alias("cb"))
+    placed = placed.join(placed.where("c <> cb").select("b").distinct(), "b", "left_semi")
+    outside = placed.select("a", "b", "na", "c", (F.col("c") != F.col("cb")).alias("apart"), F.explode("rest").alias("s"))
+    outside = outside.select(F.xxhash64("b", "s").alias("v"), F.col("a").alias("rep"), F.col("na").alias("n"), "c", "apart")
+    side = lambda x, t: t.select("v", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("apart").alias(f"apart{x}"))
+    meet = side("x", outside.where("apart")).join(side("y", outside), "v")
+    meet = meet.where("cx <> cy AND (x < y OR NOT aparty) AND 3 * greatest(nx, ny) <= 4 * least(nx, ny)")
+    meet = meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # Not linked with the pivot, but most of the set lies within it.
     near = star.where("NOT linked AND 4 * both >= 3 * na").select("a", "b", "na", "both")
     core = star.where("(linked AND na < nb) OR (NOT linked AND 4 * both >= 3 * na)").select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("both").alias("bx"))
     ring = near.join(core, "b").where("a <> x AND 7 * least(both, bx) >= 3 * (na + nx)").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b"))
-    pairs = _pairs_in_lists(cold).union(apart).union(ring).distinct()
+    pairs = meet.union(ring).distinct()
     todo = _likely(pairs, sets, k).withColumn("star", F.lit(False))
     return first.union(cut(_compare(cut(todo), texts)).where(_linked()).select("a", "b"))
 

@@ -63,6 +63,24 @@ def test_large_groups_and_shared_passages(spark, seed):
     assert got(df, list_rows=8) == brute(rows)
 
 
+def test_hot_groups_with_many_pivots(spark):
+    """Large groups of near copies under the production lists: linked copies whose
+    closest pivots differ."""
+    texts, want = [], []
+    for seed in range(6):
+        rng = random.Random(seed)
+        original = words(rng, 120).split()
+        group = []
+        for _ in range(400):
+            w = list(original)
+            for _ in range(rng.randint(2 + seed % 2, 4 + seed % 2)):
+                w[rng.randrange(len(w))] = words(rng, 1)
+            group.append((len(texts) + len(group), " ".join(w)))
+        want += brute(group)
+        texts += group
+    assert got(spark.createDataFrame(texts, "doc_id bigint, text string")) == sorted(want, key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(40, 50), (41, 50), (60, 60), (42, 41)]
     found = dict(map(tuple, N.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
