@@ -197,7 +197,7 @@ def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, k: in
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     postings = sets.select("rep", "n", F.posexplode("sketch").alias("place", "v"))
     cold, hot = _split(postings, list_rows)
-    mostly = hot.groupBy("rep").agg(F.count(F.lit(1)).alias("h")).join(sets.select("rep", F.size("sketch").alias("z")), "rep").where("2 * h > z").select("rep", "h")
+    mostly = hot.groupBy("rep").agg(F.count(F.lit(1)).alias("h")).join(sets.select("rep", F.size("sketch").alias("z")), "rep").where("4 * h > z").select("rep", "h")
     hot = cut(hot.where(F.col("place") < HOT_VALUES).join(mostly, "rep").select("v", "rep", "h"))
     pivots = hot.groupBy("v").agg(F.max(F.struct("h", (-F.col("rep")).alias("r"))).alias("p"))
     stars = hot.join(pivots.select("v", (-F.col("p.r")).alias("b")), "v").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()

@@ -81,6 +81,24 @@ def test_hot_groups_with_many_pivots(spark):
     assert got(spark.createDataFrame(texts, "doc_id bigint, text string")) == sorted(want, key=str)
 
 
+def test_half_hot_sketch(spark):
+    """A copy of a hot group with a sketch of which less than half is hot."""
+    rng = random.Random(3)
+    common = words(rng, 300).split()
+    rows = []
+    for i in range(40):
+        w = list(common)
+        w[7 * i] = words(rng, 1)
+        rows.append((i, " ".join(w)))
+    w = list(common)
+    for _ in range(76):  # a tail of smaller hashes than chance would give
+        w.append(min((words(rng, 1) for _ in range(5)), key=lambda x: N.shingle_sets([" ".join([*w[-4:], x]).encode()])[0][0]))
+    rows.append((40, " ".join(w)))
+    own, base = N.shingle_sets([" ".join(t).encode() for t in (w, common)])
+    assert 16 < len(set(own[: N.SKETCH]) & set(base)) <= N.SKETCH // 2
+    assert got(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(40, 50), (41, 50), (60, 60), (42, 41)]
     found = dict(map(tuple, N.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
