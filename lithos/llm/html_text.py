@@ -65,23 +65,28 @@ class Block(NamedTuple):
     linked: int
     noise: bool
     marked: bool
+    region: tuple[str, ...]  # path of the outermost element that marks content
 
 
 class _Open(NamedTuple):
     name: str
     noise: bool
+    named: bool
     marked: bool
+    number: int
 
 
-def _says(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is noise, and whether it marks content."""
+def _says(name: str, rest: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is noise, is named like noise, and marks content."""
+    named = False
     noise = name in NEVER or (name == "header" and not inside)
     marked = name in ("article", "main")
     for m in ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            words = {w.lower() for w in WORD.findall(value)}
-            noise = noise or bool(words & NOISE) and not (name == "header" and inside) and name not in ("body", "html")
+            tokens = [WORD.findall(v) for v in value.split()]
+            # The whole token or its first word: "has-sidebar" names a page with one.
+            named = named or any(t and (t[0] in NOISE or "".join(t) in NOISE) for t in tokens) and not (name == "header" and inside) and name not in ("body", "html")
             marked = marked or any("".join(WORD.findall(v)) in MARKS for v in value.split())
         elif key == "role":
             noise = noise or value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
@@ -90,22 +95,53 @@ def _says(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
             marked = marked or value == "articlebody"
         elif key == "hidden" or value == "true":
             noise = True
-    return noise, marked and not noise
+    return noise, named, marked and not noise
+
+
+def _weight(b: Block) -> int:
+    """Characters that aren't in links, less those that are."""
+    return max(0, len(b.text) - 2 * b.linked)
+
+
+def _named_noise(found: list[tuple[Block, tuple[int, ...]]]) -> list[Block]:
+    """Blocks inside elements named like noise as noise, except for elements that
+    hold most of the page's text, or its only marked content and at least as much
+    of it as there is text outside of such elements."""
+    total = outside = 0
+    marks = False
+    held: dict[int, int] = defaultdict(int)
+    content: dict[int, int] = defaultdict(int)
+    for b, numbers in found:
+        if b.noise:
+            continue
+        w = _weight(b)
+        total += w
+        if not numbers:
+            outside += w
+            marks = marks or b.marked
+        for n in numbers:
+            held[n] += w
+            content[n] += w * b.marked
+    exempt = {n for n in held if not marks and (2 * held[n] > total or content[n] > 0 and content[n] >= outside)}
+    return [b._replace(noise=b.noise or not exempt.issuperset(numbers)) for b, numbers in found]
 
 
 def blocks(page: str) -> list[Block]:
     """Non-empty blocks of a page in order."""
-    out: list[Block] = []
+    out: list[tuple[Block, tuple[int, ...]]] = []
     stack: list[_Open] = []
     parts: list[str] = []
-    link_depth, linked = 0, 0
+    link_depth, linked, opened = 0, 0, 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
             path = tuple(o.name for o in stack if o.name not in INLINE)
-            out.append(Block(text, path, linked, any(o.noise for o in stack), any(o.marked for o in stack)))
+            first = next((k for k, o in enumerate(stack) if o.marked), -1)
+            region = tuple(o.name for o in stack[: first + 1] if o.name not in INLINE)
+            block = Block(text, path, linked, any(o.noise for o in stack), first >= 0, region)
+            out.append((block, tuple(o.number for o in stack if o.named)))
         parts.clear()
         linked = 0
 
@@ -154,13 +190,14 @@ def blocks(page: str) -> list[Block]:
                 if stack[k].name in ("ul", "ol", "dl", "table", "tr" if name in ("td", "th") else "table"):
                     break
         if name not in VOID and not m["rest"].endswith("/"):
-            noise, marked = _says(name, m["rest"], any(o.marked for o in stack))
-            stack.append(_Open(name, noise, marked))
+            noise, named, marked = _says(name, m["rest"], any(o.marked for o in stack))
+            opened += 1
+            stack.append(_Open(name, noise, named, marked, opened))
             link_depth += name == "a"
     parts.append(page[at:])
     linked += (len(page) - at) * (link_depth > 0)
     close()
-    return out
+    return _named_noise(out)
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -175,7 +212,7 @@ def path_scores(all_blocks: list[Block]) -> tuple[dict[tuple[str, ...], float],
     points: dict = defaultdict(int)
     count: dict = defaultdict(int)
     for b in all_blocks:
-        length[b.path] += 0 if b.noise else max(0, len(b.text) - 2 * b.linked)
+        length[b.path] += 0 if b.noise else _weight(b)
         points[b.path] += 0 if b.noise else len(PUNCTUATION.findall(b.text))
         count[b.path] += 1
     fused = _smooth([length[b.path] / count[b.path] * (1 + points[b.path] / count[b.path]) for b in all_blocks])

@@ -49,6 +49,16 @@ def test_html_without_marks():
     assert text.startswith("Title\nSentence 0") and text.count("\n") == 6 and "Home" not in text and "Copyright" not in text
 
 
+def test_html_class_names_with_noise_words():
+    body = "".join(f"<p>Sentence {i} is here, with words, and it goes on.</p>" for i in range(4))
+    plain = html_text.main_text(f"<body><article>{body}</article></body>")
+    assert plain.count("\n") == 3
+    for name in ("content has-sidebar", "no-sidebar", "page-with-comments", "layout-sidebar-right", "sidebar-layout"):
+        for page in (f"<div class='{name}'><article>{body}</article></div>", f"<article class='{name}'>{body}</article>", f"<div class='{name}'>{body}</div>"):
+            assert html_text.main_text(f"<body>{page}<div class='sidebar'><p>More, and more.</p></div></body>") == plain
+    assert html_text.main_text(f"<article><div class='post-header'><h1>Head</h1></div>{body}</article>") == "Head\n" + plain
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>unclosed <b>bold <p>next"), (4, "u", "<!-- never closed <p>x"), (5, "u", "<script>var a"), (6, "u", "plain text, no tags."), (7, "u", "<article>" + "<p>a, b.</p>" * 50_000)]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
