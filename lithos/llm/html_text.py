@@ -4,9 +4,9 @@ A page is a sequence of text blocks, each with its root-to-leaf tag path. For
 every path the text length and the punctuation are summed and divided by the
 number of its blocks; the two ratios are smoothed along the page, fused, and
 compared with a threshold, which selects paths. Paths through elements that are
-never content, or whose class or id names a part that isn't, have no weight; if
-the page marks its content (article, main), paths outside have none either, and
-those inside need no more than that.
+never content, or whose class or id names a part that isn't, have no weight. Where
+the page marks content (article, main) and the ratios choose a path of it, all of
+it is taken, its short paths too.
 
 Defined results. A null or empty page has an empty text, and so has one without
 content. Unclosed and stray tags are repaired as browsers do for paragraphs and
@@ -228,14 +228,12 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     scores, threshold = path_scores(found)
-    marked = any(b.marked and not b.noise for b in found)
-    if marked:
-        chosen = {b.path for b in found if b.marked}
-    else:
-        chosen = {p for p, s in scores.items() if s >= threshold}
-        parents = {p[:-1] for p in chosen}
-        chosen |= {p for p in scores if p and p[-1] in HEADINGS and p[:-1] in parents}
-    return "\n".join(b.text for b in found if not b.noise and b.path in chosen and (b.marked or not marked))
+    chosen = {p for p, s in scores.items() if s >= threshold}
+    # Marked content is taken whole where the ratios choose a part of it.
+    regions = {b.region for b in found if b.marked and not b.noise and b.path in chosen}
+    parents = {p[:-1] for p in chosen}
+    chosen |= {p for p in scores if p and p[-1] in HEADINGS and p[:-1] in parents}
+    return "\n".join(b.text for b in found if not b.noise and (b.path in chosen or b.marked and b.region in regions))
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -59,6 +59,14 @@ def test_html_class_names_with_noise_words():
     assert html_text.main_text(f"<article><div class='post-header'><h1>Head</h1></div>{body}</article>") == "Head\n" + plain
 
 
+def test_html_ratios_choose_on_marked_pages():
+    body = "".join(f"<p>Sentence {i} is here, with words, and it goes on for a while; more of it follows.</p>" for i in range(6))
+    card = "<div><article><h3>Other</h3><p>Read it.</p></article></div>"
+    text = html_text.main_text(f"<body><div id=content>{body}</div>{card}</body>")
+    assert text.count("Sentence") == 6
+    assert html_text.main_text(f"<body><article>{body}<ul><li>a</ul></article></body>").endswith("\na")
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>unclosed <b>bold <p>next"), (4, "u", "<!-- never closed <p>x"), (5, "u", "<script>var a"), (6, "u", "plain text, no tags."), (7, "u", "<article>" + "<p>a, b.</p>" * 50_000)]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
