@@ -2,8 +2,9 @@
 
 Three fixed patterns find assignments, access keys and long hexadecimal runs.
 The token-efficiency test finds the rest: a run of credential characters that a
-byte-pair vocabulary needs many tokens for is a random string. Runs that are
-known digests, identifiers or ordinary words are left out before the test.
+byte-pair vocabulary needs many tokens for is a random string. Known digests,
+UUIDs and numbers are left out before the test; runs that look like words or names
+take it with a lower threshold.
 
 Defined results. A null text is empty. Offsets are code points, ends exclusive.
 Repeated rows are reported one by one; an empty table gives no rows. Extra
@@ -33,6 +34,9 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{128}|[0
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 NUMBER = re.compile(r"[0-9+/_=-]+")
 NAME = re.compile(r"(?:[A-Za-z]+[0-9]*|[0-9]+)(?:[_/=+-]+(?:[A-Za-z]+[0-9]*|[0-9]+))*")
+#: Share of the threshold for runs that look like names: words are cut finer than
+#: prose, down to 2.0 characters per token of 2.2.
+NAME_SHARE = 0.9
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -46,23 +50,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def is_identifier(run: str) -> bool:
-    """Known digests, UUIDs, numbers, words, and names of words and numbers."""
-    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run):
-        return True
-    if run.isalpha() and (run.islower() or run.isupper() or run.istitle()):
-        return True
+def is_known(run: str) -> bool:
+    """Known digests, UUIDs and numbers."""
+    return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run))
+
+
+def is_name(run: str) -> bool:
+    """Of the shape of a word, or of a name of words and numbers."""
     return bool(NAME.fullmatch(run)) and all(p.islower() or p.isupper() or p.istitle() for p in re.findall(r"[A-Za-z]+", run))
 
 
 def random_spans(text: str, encode, most_chars_per_token: float) -> list[tuple[int, int, str]]:
-    """Runs whose characters per token are below the threshold, the digests and
-    identifiers left out."""
+    """Runs whose characters per token are below the threshold, the known ones
+    left out; those that look like names need ``NAME_SHARE`` of it."""
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if not is_identifier(run) and len(run) / len(encode(run)) < most_chars_per_token:
-            out.append((m.start(), m.end(), "random"))
+        if not is_known(run):
+            limit = most_chars_per_token
+            if len(run) / len(encode(run)) >= limit:
+                continue
+            # Vocabularies know few words in capitals, so names count in small letters.
+            if not is_name(run) or len(run) / len(encode(run.lower())) < NAME_SHARE * limit:
+                out.append((m.start(), m.end(), "random"))
     return out
 
 

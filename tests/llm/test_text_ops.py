@@ -108,6 +108,13 @@ def test_random_strings_are_found_and_names_are_not(spark):
     assert red[0].text == "see [SECRET] now" and red[3].text == texts[3] and red[5].text is None
 
 
+def test_random_strings_of_one_case(spark):
+    texts = ["app qkzjxwvbnmtrhplg", "key XKQZJVWPTR4471-ZZQKXWVB90", "Qkzjxwvbnmtrhplgwz", "PYTHON_FOR_REGEN HAVE_EXPLICIT_BZERO", "donaudampfschifffahrtsgesellschaft", "3f786850e387550fdab836ed7e6dc881de23001b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert [r.n_random for r in secrets.scan(df).orderBy("doc_id").collect()] == [1, 1, 1, 0, 0, 0]
+    assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()][:2] == ["app [SECRET]", "key [SECRET]"]
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "a", "hi"), (1, 1, "b", None), (1, 1, "b", None), (None, 0, None, "x"), (2, None, "a", "")]
     out = chat.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
