@@ -19,6 +19,8 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -48,16 +50,42 @@ def vocabulary() -> str:
     return path("byte_bpe_50k.tiktoken")
 
 
+@functools.lru_cache(maxsize=1)
+def _added() -> dict[str, int]:
+    """The tokens that ``byte_bpe_50k.json`` adds to its vocabulary, and their ids."""
+    from public_tokenizers import path
+
+    with open(path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoder(ranks: str | None = None):
+    """The ids of a text as ``byte_bpe_50k.json`` gives them without special tokens
+    around it: added tokens in the text are one id each. A rank file of one's own
+    has none."""
+    encode = _encoder(ranks or vocabulary()).encode_ordinary
+    added = {} if ranks else _added()
+    if not added:
+        return encode
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def run(text: str) -> list[int]:
+        if not any(t in text for t in added):
+            return encode(text)
+        return [i for part in split.split(text) for i in ([added[part]] if part in added else encode(part))]
+
+    return run
+
+
 _PIECES = "{id} bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 1024, end_id: int = 0, ranks: str | None = None) -> DataFrame:
     """Tokenise and cut: one row per piece of at most ``width`` ids."""
     ship(docs.sparkSession)
-    path = ranks or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path).encode_ordinary
+        encode = encoder(ranks)
         for batch in chunks(batches, text_col):
             keys = batch.column(0).to_pylist()
             out = ([], [], [], [], [])

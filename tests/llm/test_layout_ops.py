@@ -127,6 +127,18 @@ def test_ids_are_those_of_the_tokenizer(awkward_rows):
         assert encode(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_the_ids_of_the_tokenizer_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endoftext| >"]
+    ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert list(map(packing.encoder(), texts)) == ids
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [(r.doc_tokens, r.ids_crc32) for r in got] == [(len(x) + 1, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*x, 0]))) for x in ids]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_solver_covers_demand_tightly(seed):
     rng = random.Random(seed)
