@@ -88,6 +88,12 @@ def document_vectors(texts: list[str | None], dims: int = DIMENSIONS) -> np.ndar
     return np.divide(out, norms, out=out, where=norms > 0)
 
 
+#: Letters of a text from which `known_only` asks for its whole cosine, and up to
+#: which for none.
+FULL_LETTERS = 200
+FREE_LETTERS = 20
+
+
 def held_out(id_col: str) -> Column:
     """crc32 of the id as text leaves 1 by 3; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
@@ -163,10 +169,15 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
 
 def known_only(docs: DataFrame, *, least: float = 0.08, **kw) -> DataFrame:
     """Rows of ``docs`` in one of the learned languages: those with ``und``, or a
-    cosine below ``least``, go."""
+    cosine below ``least``, go. A short text can't reach a high cosine, so up to
+    ``FULL_LETTERS`` letters ``least`` shrinks with them, to none at
+    ``FREE_LETTERS``."""
     cols = docs.columns
     found = identify(docs, keep=tuple(cols), **kw)
-    ok = (F.col("lang_pred") != UND) & (F.col("score") >= least)
+    letters = F.length(F.regexp_replace(f"_c{cols.index(kw.get('text_col', 'text'))}", r"[^\p{L}]", ""))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (letters - FREE_LETTERS) / (FULL_LETTERS - FREE_LETTERS)))
+    # Letters are counted only below ``least``.
+    ok = (F.col("lang_pred") != UND) & F.when(F.col("score") >= least, True).otherwise(F.col("score") >= least * share)
     # By place: kept columns may be named like the two that were added.
     n = len(cols)
     found = found.toDF(*[f"_c{i}" for i in range(n)], "lang_pred", "score").where(ok)

@@ -31,6 +31,14 @@ def test_language_edges(spark, awkward, nothing):
     assert kept.columns == awkward.columns and not {0, 1, 2, 10} & {r.doc_id for r in kept.collect()}
 
 
+def test_short_texts_of_a_language_are_kept(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    ones = sorted({w for r in docs.where("lang = 'en'").select("text").limit(40).collect() for w in r.text.split() if w.isalpha()})[:300]
+    short = spark.createDataFrame([(10_000 + i, w) for i, w in enumerate(["A.", "Avec.", "A.\nAll rights reserved.", *ones])], "doc_id bigint, text string")
+    kept = langid.known_only(docs.select("doc_id", "text", "lang").unionByName(short, allowMissingColumns=True))
+    assert kept.where("doc_id >= 10000").count() == short.count()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="single comments-open">
 <header><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a><li><a>B</a></ul></nav><div class="cookie-notice">We use cookies. OK?</div>
 <article class="post"><header><h1>Head &amp; line</h1></header><p>First  para&shy;graph&nbsp;one,\n with <b>bold</b>.<p>Second<br>line &lt;tag&gt; <script>x("</p>")</script>end
