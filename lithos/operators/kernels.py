@@ -21,21 +21,39 @@ def _limit(x: str, y: str, most: float) -> tuple[Column, Column]:
     return F.col(x) * k, F.col(y) * k
 
 
+def _places(rows: DataFrame, **sums: Column) -> DataFrame:
+    """One row for each distinct position: ``place, n`` and sums over what stands
+    there. Forces depend on positions alone, so rows that coincide act and are
+    acted on as one, and pairs are of places, not of rows."""
+    place = F.struct("pos_x", "pos_y")
+    return rows.where("pos_x IS NOT NULL AND pos_y IS NOT NULL").groupBy("pos_x", "pos_y").agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(k) for k, v in sums.items()]).withColumn("place", place)
+
+
+def _at_place(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with what was found for their position, if anything."""
+    found = found.withColumns({"_px": F.col("entity_id.pos_x"), "_py": F.col("entity_id.pos_y")}).drop("entity_id")
+    return rows.join(found, (F.col("pos_x") == F.col("_px")) & (F.col("pos_y") == F.col("_py")), "left").drop("_px", "_py")
+
+
 def boids_forces(rows: DataFrame, *, world_size: float = 500.0, separation_radius: float = 25.0, alignment_radius: float = 50.0, cohesion_radius: float = 50.0, separation_weight: float = 1.5, alignment_weight: float = 1.0, cohesion_weight: float = 1.0, max_force: float = 0.5) -> DataFrame:
     """``acc_x, acc_y`` of every boid from its neighbours within the radii."""
     reach = max(separation_radius, alignment_radius, cohesion_radius)
-    grid = SpatialGrid(world_size, reach)
-    grid.rebuild(rows, ID, "pos_x", "pos_y")
+    grid = SpatialGrid(world_size, reach / 2)
+    places = _places(rows, ovx=F.col("vel_x"), ovy=F.col("vel_y"), ovn=F.when(F.col("vel_x").isNotNull() & F.col("vel_y").isNotNull(), 1))
+    grid.rebuild(places, "place", "pos_x", "pos_y", ("n", "ovx", "ovy", "ovn"))
     near = grid.neighbours(reach).where("d2 >= 1e-6").withColumn("d", F.sqrt("d2"))
-    speed = rows.select(F.col(ID).alias("other"), F.col("vel_x").alias("ovx"), F.col("vel_y").alias("ovy"))
-    near = near.join(speed, "other")
     sep, ali, coh = (F.col("d") < r for r in (separation_radius, alignment_radius, cohesion_radius))
+
+    def mean(when: Column, value: Column, weight: str) -> Column:
+        return F.sum(F.when(when, value)) / F.sum(F.when(when, F.col(weight)))
+
+    n = F.col("n")
     means = near.groupBy(ID).agg(
-        F.avg(F.when(sep, -F.col("dx") / F.col("d") / F.col("d"))).alias("sx"), F.avg(F.when(sep, -F.col("dy") / F.col("d") / F.col("d"))).alias("sy"),
-        F.avg(F.when(ali, F.col("ovx"))).alias("ax"), F.avg(F.when(ali, F.col("ovy"))).alias("ay"),
-        F.avg(F.when(coh, F.col("dx"))).alias("cx"), F.avg(F.when(coh, F.col("dy"))).alias("cy"),
+        mean(sep, -F.col("dx") / F.col("d2") * n, "n").alias("sx"), mean(sep, -F.col("dy") / F.col("d2") * n, "n").alias("sy"),
+        mean(ali, F.col("ovx"), "ovn").alias("ax"), mean(ali, F.col("ovy"), "ovn").alias("ay"),
+        mean(coh, F.col("dx") * n, "n").alias("cx"), mean(coh, F.col("dy") * n, "n").alias("cy"),
     )
-    out = rows.join(means, ID, "left")
+    out = _at_place(rows, means)
     zero = F.lit(0.0)
     for axis in "xy":
         force = (
@@ -57,17 +75,18 @@ def boids_integrate(rows: DataFrame, *, dt: float = 1.0, max_speed: float = 4.0,
 
 
 def gravity(rows: DataFrame, *, g: float = 1.0, softening: float = 1.0, dt: float = 0.1, world_size: float = 500.0) -> DataFrame:
-    """Every body pulls every other along the shortest way. The bodies are their
-    own stated set against all rows, so this is n * n by definition: each body
-    meets all cells of the grid, dealt by cell, and sums are partial."""
+    """Every body pulls every other along the shortest way, by the softened
+    distance in both the force and its direction. Bodies of one place pull as
+    one. The places are their own stated set against all, so this is n * n by
+    definition: each meets all cells of the grid, dealt by cell, and sums are
+    partial."""
     grid = SpatialGrid(world_size, world_size / 8)
-    grid.rebuild(rows, ID, "pos_x", "pos_y")
+    grid.rebuild(_places(rows, pull=F.col("mass")), "place", "pos_x", "pos_y", ("pull",))
     pairs = grid.neighbours(world_size)  # beyond the farthest point of a torus
-    masses = rows.select(F.col(ID).alias("other"), "mass")
-    d = F.sqrt("d2")
-    pull = g * F.col("mass") / (F.col("d2") + softening * softening) / d
-    sums = pairs.where("d2 > 0").join(masses, "other").groupBy(ID).agg(F.sum(pull * F.col("dx")).alias("gx"), F.sum(pull * F.col("dy")).alias("gy"))
-    out = rows.join(sums, ID, "left")
+    soft = F.col("d2") + softening * softening
+    force = F.col("pull") * g / (soft * F.sqrt(soft))
+    sums = pairs.where("d2 > 0").groupBy(ID).agg(F.sum(force * F.col("dx")).alias("gx"), F.sum(force * F.col("dy")).alias("gy"))
+    out = _at_place(rows, sums)
     out = out.withColumns({f"vel_{a}": F.col(f"vel_{a}") + F.coalesce(F.col(f"g{a}"), F.lit(0.0)) * dt for a in "xy"})
     return out.withColumns({f"pos_{a}": wrap(F.col(f"pos_{a}") + F.col(f"vel_{a}") * dt, world_size) for a in "xy"}).drop("gx", "gy")
 

@@ -50,9 +50,39 @@ def test_boids_two_bodies(spark):
 def test_gravity_is_mutual(spark):
     rows = spark.createDataFrame([(1, 10.0, 10.0, 0.0, 0.0, 2.0), (2, 20.0, 10.0, 0.0, 0.0, 1.0), (3, 300.0, 400.0, 0.0, 0.0, 1.0)], "entity_id bigint, pos_x double, pos_y double, vel_x double, vel_y double, mass double")
     got = {r.entity_id: r for r in kernels.gravity(rows, g=3.0, softening=1.0, dt=1.0).collect()}
-    d = wrapped(300 - 20.0, 500), wrapped(400 - 10.0, 500)
-    far = 3 / (d[0] ** 2 + d[1] ** 2 + 1) / math.hypot(*d)
-    assert got[2].vel_x == pytest.approx(-3 * 2 / 101 + far * d[0])
+    dx, dy = wrapped(300 - 20.0, 500), wrapped(400 - 10.0, 500)
+    far = 3 / (dx * dx + dy * dy + 1) ** 1.5  # softened in force and direction
+    assert got[2].vel_x == pytest.approx(-3 * 2 * 10 / 101**1.5 + far * dx)
+
+
+def _forces(boids, reach=50.0, close=25.0):
+    out = {}
+    for i, x, y, vx, vy in boids:
+        sums = {"s": [0.0, 0.0, 0], "a": [0.0, 0.0, 0], "c": [0.0, 0.0, 0]}
+        for j, ox, oy, ovx, ovy in boids:
+            dx, dy = wrapped(ox - x, 500), wrapped(oy - y, 500)
+            d2 = dx * dx + dy * dy
+            if i == j or d2 < 1e-6:
+                continue
+            for k, radius, v in (("s", close, (-dx / d2, -dy / d2)), ("a", reach, (ovx, ovy)), ("c", reach, (dx, dy))):
+                if math.sqrt(d2) < radius:
+                    sums[k] = [sums[k][0] + v[0], sums[k][1] + v[1], sums[k][2] + 1]
+        m = {k: (v[0] / v[2], v[1] / v[2]) if v[2] else None for k, v in sums.items()}
+        out[i] = [1.5 * (m["s"][a] if m["s"] else 0) + (m["a"][a] - (vx, vy)[a] if m["a"] else 0) + (m["c"][a] if m["c"] else 0) for a in (0, 1)]
+    return out
+
+
+def test_boids_against_all_pairs(spark):
+    """Places that several boids share, some a hair apart, and the torus' edge."""
+    rng = np.random.default_rng(5)
+    spots = rng.uniform(0, 500, (25, 2)).round(1).tolist() + [[0.0, 499.9], [499.9, 0.0], [100.0, 100.0], [100.0005, 100.0]]
+    boids = [(i, *spots[rng.integers(len(spots))], *rng.normal(size=2).tolist()) for i in range(150)]
+    rows = spark.createDataFrame(boids, "entity_id bigint, pos_x double, pos_y double, vel_x double, vel_y double")
+    got = {r.entity_id: r for r in kernels.boids_forces(rows, max_force=1e9).collect()}
+    want = _forces(boids)
+    assert len(got) == 150
+    for i, f in want.items():
+        assert got[i].acc_x == pytest.approx(f[0], abs=1e-9) and got[i].acc_y == pytest.approx(f[1], abs=1e-9)
 
 
 def test_worms(spark):
