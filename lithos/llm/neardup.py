@@ -5,25 +5,31 @@
    representative of each goes on.
 2. Inverted lists of retained values: representatives in one list overlap. Lists
    of at most ``list_rows`` members ("cold") give pairs by an equi-join.
-3. A longer list ("hot") can matter on its own only to representatives most of
-   whose retained values are hot; the others share a cold value with every
-   partner. Within a hot list each of them is compared with one pivot P, the
-   member with the most hot values. Two sets A, B that link either share a
-   shingle outside P, or they don't, and then
-   7 * min(|A n P|, |B n P|) >= 3 * (|A| + |B|). The first kind meets in an
-   inverted list of P and a shingle outside it, kept for every P that a set is
-   compared with; the second kind is paired under that bound with sets that
-   don't link with P. So a hot list costs a star, not all pairs. Of the lists
-   outside P only pairs count that the links so far leave in different
-   components: an exact way for the rest, whose cost grows with the sets that
-   stand apart, not with the list.
-4. The union sketch estimates the similarity of each candidate and drops the
-   hopeless ones; the exact Jaccard similarity of the full sets decides.
-5. Links are contracted by alternating large and small stars.
-
-Two sets of similarity 0.75 or more share no cold value, or fall below the
-estimate's floor, with a probability under 1e-9 at k = 64; sets of up to ``k``
-shingles are treated exactly.
+3. A longer list ("hot") can matter on its own only to representatives with many
+   hot values; the others share a cold value with every partner. Within a hot
+   list, and a class of sizes that may link, each is compared with one pivot P,
+   the member with the most hot values: a star, not all pairs.
+4. A n B differs from one to the other as their differences from P do: |A + B| =
+   |(A + P) + (B + P)|, where + is the symmetric difference. So the members of a
+   star meet again in inverted lists of P and an element of A + P. Link means
+   7 |A + B| <= |A| + |B|. With the weight w(A) = 7 |A + P| - |A|, two members
+   of w(A) + w(B) <= 0 both link with P; any others share at least
+   (w(A) + w(B)) / 14 elements of their differences. That is a prefix filter:
+   rarest elements first, the lighter one needs its first few only, and what is
+   left after a common element must be enough for the rest.
+   A set with much text outside P shares a known part of that with every partner,
+   so a sample of it by hash, as dense as that part needs, is enough: its lists
+   are treated as the sketches' were, the long ones by a star of their own, and in
+   the last round pair by pair.
+5. Of all these lists only pairs count that the links so far leave in different
+   components. The union sketch estimates the similarity of candidates and drops
+   the hopeless ones; the exact Jaccard similarity of the full sets, or the
+   exact size of the symmetric difference, decides.
+6. Links are contracted by alternating large and small stars.
+
+Two sets of similarity 0.75 or more never meet, or fall below the estimate's
+floor, with a probability under 1e-9 at k = 64; sets of up to ``k`` shingles are
+treated exactly.
 
 Defined results. A null text, or one without words, has an empty set, links with
 nothing and is kept. Fewer than five words are one shingle. Rows that share an
@@ -37,10 +43,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithos.llm._common import Words, chunks, cut, joined, ship, texts_as_bytes, window_hashes
+from lithos.llm._common import Words, chunks, cut, joined, mix, ship, texts_as_bytes, window_hashes
 
 #: Words are runs of anything but blank, tab, line feed to carriage return.
 IS_WORD = np.ones(256, dtype=bool)
@@ -55,6 +61,18 @@ FLOOR = 0.375
 #: Of a sketch, so many of the smallest values may stand in a hot list: two sets
 #: of similarity 0.75 share none of them with a probability of 0.25 ** 16.
 HOT_VALUES = 16
+#: A set whose partner shares only hot values has at most this share of cold ones
+#: in its sketch, but for a probability of 1.5e-12 (21 or fewer of 64 at 0.75).
+HOT_SHARE = 1 / 3
+#: Expected number of common elements that a sample must keep: none is left with
+#: a probability of e ** -28.
+SAMPLE = 28
+#: Ratio of neighbouring classes of set sizes; more than that of linked sets.
+CLASS = 1.35
+#: Rounds of stars; the lists that the last one leaves are paired in full.
+ROUNDS = 3
+#: Members of a list that one task pairs with the others.
+LIST_PART = 500
 #: Slots of the filter that tells which texts a comparison needs.
 SLOTS = 1 << 22
 #: Slots of the filter that spares most rows a shuffle in `keep_one`.
@@ -109,17 +127,34 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return source.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
 
 
-def _outside(x: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Hashes of ``x`` outside the other set. Where they are more than half, a
-    partner of similarity 0.75 shares a third of them at least, so their own
-    sketch is enough to meet it."""
+def _log2(x: float) -> int:
+    """Rounded down; 0 for what is smaller than 1."""
+    return max(int(x).bit_length() - 1, 0)
+
+
+def _apart(x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int, list[dict]]:
+    """How set ``x`` differs from pivot ``y``: the whole symmetric difference if
+    little of ``x`` is outside ``y``, else nothing; the sampling level (0 for the
+    former); and the elements outside that each level keeps, one in 2 ** level.
+
+    A partner lacks at most a quarter of x. So of ``o`` elements outside it holds
+    ``o - len(x) / 4``, and both keep ``SAMPLE`` of those at the larger of their
+    own levels, which is at most that of all of ``o``."""
     out = x[~inside]
-    return out if 2 * len(out) <= len(x) else out[:SKETCH]
+    spare = len(out) - len(x) / 4
+    near = spare <= 2 * SAMPLE
+    level = 0 if near else _log2(spare / SAMPLE)
+    top = _log2(len(out) / SAMPLE)
+    whole = np.concatenate([out, np.setdiff1d(y, x, assume_unique=True)]) if near else out[:0]
+    if top < max(level, 1):
+        return whole, level, []
+    kept = mix(out ^ _ODD) >> np.uint64(32)
+    return whole, level, [{"level": k, "e": e} for k in range(max(level, 1), top + 1) for e in _signed(out[kept < np.uint64(1 << (32 - k))]).tolist()]
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, star`` to ``a, b, star, na, nb, both, rest``: exact sizes of the
-    sets and of their intersection, and for stars the hashes of a outside b."""
+    """``a, b, star`` to ``a, b, star, na, nb, both``: exact sizes of the sets and
+    of their intersection; and for stars ``near, level, far``: see `_apart`."""
     spark = pairs.sparkSession
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot("id").alias("slot")).distinct()
@@ -140,13 +175,16 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 left, right = (shingle_sets(texts_as_bytes(batch, c)) for c in ("ta", "tb"))
                 stars = batch.column(batch.schema.get_field_index("star")).to_pylist()
                 inside = [np.isin(x, y, assume_unique=True) for x, y in zip(left, right, strict=True)]
+                found = [_apart(x, m, y) if s else (x[:0], 0, []) for x, m, y, s in zip(left, inside, right, stars, strict=True)]
                 new = {
                     "na": pa.array([len(x) for x in left], pa.int64()),
                     "nb": pa.array([len(x) for x in right], pa.int64()),
                     "both": pa.array([int(x.sum()) for x in inside], pa.int64()),
-                    "rest": pa.array([_signed(_outside(x, m)) if s else [] for x, m, s in zip(left, inside, stars, strict=True)], pa.list_(pa.int64())),
+                    "near": pa.array([_signed(f[0]) for f in found], pa.list_(pa.int64())),
+                    "level": pa.array([f[1] for f in found], pa.int32()),
+                    "far": pa.array([f[2] for f in found], pa.list_(pa.struct([("level", pa.int32()), ("e", pa.int64())]))),
                 }
-                names = ["a", "b", "star", "na", "nb", "both", "rest"]
+                names = ["a", "b", "star", "na", "nb", "both", "near", "level", "far"]
                 yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
 
     joined_ = (
@@ -154,7 +192,7 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "star", "ta", "tb")
     )
-    return joined_.mapInArrow(run, "a bigint, b bigint, star boolean, na bigint, nb bigint, both bigint, rest array<bigint>")
+    return joined_.mapInArrow(run, "a bigint, b bigint, star boolean, na bigint, nb bigint, both bigint, near array<bigint>, level int, far array<struct<level:int,e:bigint>>")
 
 
 def _linked(a: str = "na", b: str = "nb", both: str = "both"):
@@ -177,11 +215,11 @@ def _likely(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _pairs_in_lists(lists: DataFrame) -> DataFrame:
-    """Pairs a < b of the members of each list of ``v, rep, n`` whose sizes allow
-    a link."""
+def _pairs_in_lists(lists: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """Pairs of the members of each list of ``v, rep, n`` that may link."""
     side = lambda x: lists.select("v", F.col("rep").alias(x), F.col("n").alias(f"n{x}"))
-    return side("a").join(side("b"), "v").where("a < b AND 3 * greatest(na, nb) <= 4 * least(na, nb)").select("a", "b")
+    pairs = side("a").join(side("b"), "v").where("a < b AND 3 * greatest(na, nb) <= 4 * least(na, nb)").select("a", "b").distinct()
+    return _likely(pairs, sets, k).withColumn("star", F.lit(False))
 
 
 def _split(lists: DataFrame, list_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -191,44 +229,91 @@ def _split(lists: DataFrame, list_rows: int) -> tuple[DataFrame, DataFrame]:
     return both.where(F.col("c") <= list_rows), both.where(F.col("c") > list_rows)
 
 
-def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, k: int = SKETCH, list_rows: int = LIST_ROWS) -> DataFrame:
+def _stars(lists: DataFrame) -> DataFrame:
+    """Of each list of ``v, rep, n, h`` and each two neighbouring classes of
+    sizes, every member ``a`` with the pivot ``b``: the one of the most hot
+    values, then the smallest id."""
+    of = F.floor(F.log("n") / np.log(CLASS))
+    classed = lists.withColumn("g", F.explode(F.array(of, of - 1)))
+    pivots = classed.groupBy("v", "g").agg(F.max(F.struct("h", (-F.col("rep")).alias("r"))).alias("p")).select("v", "g", (-F.col("p.r")).alias("b"))
+    return classed.join(pivots, ["v", "g"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct().withColumn("star", F.lit(True))
+
+
+def _dealt(index: DataFrame, probe: DataFrame, keys: list[str], member: str, size: str) -> DataFrame:
+    """Index rows joined with probe rows on ``keys``. The index rows of a long
+    list (of ``size`` members) are dealt over parts, each of which meets all its
+    probe rows, so that no list is one task."""
+    parts = F.ceil(F.col(size) / LIST_PART).cast("int")
+    index = index.withColumn("_part", F.pmod(F.xxhash64(member), parts).cast("int")).drop(size)
+    probe = probe.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(size)
+    return index.join(probe, [*keys, "_part"])
+
+
+def _near_links(star: DataFrame) -> DataFrame:
+    """Links of members of one star that differ little from its pivot, across
+    components (``c``), by the size of the symmetric difference."""
+    rows = star.where("size(near) > 0").select("a", "b", "na", F.col("ina").alias("c"), "near", F.size("near").alias("m"))
+    posts = rows.select("a", "b", "na", "c", "m", F.explode("near").alias("e"))
+    sizes = posts.groupBy("b", "e").agg(F.count(F.lit(1)).alias("size"), (F.min("c") != F.max("c")).alias("mixed")).where("size > 1")
+    posts = posts.join(sizes, ["b", "e"])
+    # `left`: shared elements from this one on, in the order of rarest first.
+    order = Window.partitionBy("a", "b").orderBy(F.col("size").desc(), "e")
+    posts = cut(posts.withColumn("left", F.row_number().over(order)).where("mixed").drop("mixed"))
+    light = posts.where("7 * left >= 7 * m - na").select("b", "e", "size", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("c").alias("cx"), F.col("m").alias("mx"), F.col("left").alias("lx"))
+    heavy = posts.where("3 * left >= 3 * m - na").select("b", "e", "size", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("c").alias("cy"), F.col("m").alias("my"), F.col("left").alias("ly"))
+    meet = _dealt(light, heavy, ["b", "e"], "x", "size").where(
+        "cx <> cy AND 7 * my - ny >= 7 * mx - nx AND 3 * greatest(nx, ny) <= 4 * least(nx, ny) AND 14 * least(lx, ly) >= 7 * my - ny + 7 * mx - nx"
+    )
+    pairs = meet.groupBy("x", "y").agg(F.min("b").alias("b"))
+    side = lambda x: rows.select("b", F.col("a").alias(x), F.col("na").alias(f"n{x}"), F.col("near").alias(f"d{x}"))
+    both = pairs.join(side("x"), ["b", "x"]).join(side("y"), ["b", "y"])
+    differ = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
+    return both.where(7 * differ <= F.col("nx") + F.col("ny")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _far_lists(star: DataFrame, hot: DataFrame) -> DataFrame:
+    """Lists of members of a star that share a sampled element outside its pivot:
+    ``v, rep, n, h, level, own, part_of``."""
+    posts = star.select("a", "b", "na", "ina", F.col("level").alias("own"), F.explode("far").alias("p"))
+    posts = posts.select(F.xxhash64("b", "p.level", "p.e").alias("v"), F.col("a").alias("rep"), F.col("na").alias("n"), F.col("ina").alias("part_of"), F.col("p.level").alias("level"), "own")
+    useful = posts.groupBy("v").agg(F.min("part_of").alias("l"), F.max("part_of").alias("r"), F.max(F.col("own") == F.col("level")).alias("met")).where("l <> r AND met").select("v")
+    return posts.join(useful, "v", "left_semi").join(hot, "rep")
+
+
+def _far_pairs(lists: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """Pairs of each of those lists that may link, across components."""
+    side = lambda x: lists.select("v", F.col("c").alias("size"), "level", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("part_of").alias(f"c{x}"), F.col("own").alias(f"o{x}"))
+    pairs = _dealt(side("a"), side("b"), ["v", "level"], "a", "size").where("a < b AND ca <> cb AND level = greatest(oa, ob) AND 3 * greatest(na, nb) <= 4 * least(na, nb)")
+    return _likely(pairs.select("a", "b").distinct(), sets, k).withColumn("star", F.lit(False))
+
+
+def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, k: int = SKETCH, list_rows: int = LIST_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """Exact links ``a, b`` between representatives that suffice for the
     components."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     postings = sets.select("rep", "n", F.posexplode("sketch").alias("place", "v"))
-    cold, hot = _split(postings, list_rows)
-    mostly = hot.groupBy("rep").agg(F.count(F.lit(1)).alias("h")).join(sets.select("rep", F.size("sketch").alias("z")), "rep").where("4 * h > z").select("rep", "h")
-    hot = cut(hot.where(F.col("place") < HOT_VALUES).join(mostly, "rep").select("v", "rep", "h"))
-    pivots = hot.groupBy("v").agg(F.max(F.struct("h", (-F.col("rep")).alias("r"))).alias("p"))
-    stars = hot.join(pivots.select("v", (-F.col("p.r")).alias("b")), "v").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    todo = _likely(_pairs_in_lists(cold).distinct(), sets, k).withColumn("star", F.lit(False)).union(stars.withColumn("star", F.lit(True)))
-    done = cut(_compare(cut(todo), texts))
-    first = done.where(_linked()).select("a", "b")
-    star = done.where("star").withColumn("linked", _linked())
-    if star.isEmpty():
-        return first
-    # Shingles outside a pivot: what two sets of its star may share besides it. The
-    # lists hold the pivot and the shingle, so two members of a hot list always
-    # meet relative to its pivot. One of each pair must stand apart from the
-    # pivot's component; sets of one component needn't meet. (A collision of the
-    # hash only adds a candidate.)
-    known = components(first)
-    of = lambda x: known.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
-    placed = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "na", "rest", F.coalesce("ca", "a").alias("c"), F.coalesce("cb", "b").alias("cb"))
-    placed = placed.join(placed.where("c <> cb").select("b").distinct(), "b", "left_semi")
-    outside = placed.select("a", "b", "na", "c", (F.col("c") != F.col("cb")).alias("apart"), F.explode("rest").alias("s"))
-    outside = outside.select(F.xxhash64("b", "s").alias("v"), F.col("a").alias("rep"), F.col("na").alias("n"), "c", "apart")
-    side = lambda x, t: t.select("v", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("apart").alias(f"apart{x}"))
-    meet = side("x", outside.where("apart")).join(side("y", outside), "v")
-    meet = meet.where("cx <> cy AND (x < y OR NOT aparty) AND 3 * greatest(nx, ny) <= 4 * least(nx, ny)")
-    meet = meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    # Not linked with the pivot, but most of the set lies within it.
-    near = star.where("NOT linked AND 4 * both >= 3 * na").select("a", "b", "na", "both")
-    core = star.where("(linked AND na < nb) OR (NOT linked AND 4 * both >= 3 * na)").select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("both").alias("bx"))
-    ring = near.join(core, "b").where("a <> x AND 7 * least(both, bx) >= 3 * (na + nx)").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b"))
-    pairs = meet.union(ring).distinct()
-    todo = _likely(pairs, sets, k).withColumn("star", F.lit(False))
-    return first.union(cut(_compare(cut(todo), texts)).where(_linked()).select("a", "b"))
+    cold, lists = _split(postings, list_rows)
+    hot = lists.groupBy("rep").agg(F.count(F.lit(1)).alias("h")).join(sets.select("rep", F.size("sketch").alias("z")), "rep").where(F.col("h") > HOT_SHARE * F.col("z")).select("rep", "h")
+    hot = cut(hot)
+    lists = lists.where(F.col("place") < HOT_VALUES).join(hot, "rep")
+    pairs, found = _pairs_in_lists(cold, sets, k), None
+    for turn in range(rounds + 1):
+        todo = cut(pairs.unionByName(_stars(lists)) if lists is not None else pairs)
+        done = cut(_compare(todo, texts))
+        new = done.where(_linked()).select("a", "b")
+        found = new if found is None else found.union(new)
+        star = done.where("star")
+        if lists is None or star.isEmpty():
+            break
+        known = components(found)
+        of = lambda x: known.select(F.col("id").alias(x), F.col("component").alias(f"in{x}"))  # noqa: B023, E731
+        star = star.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ina": F.coalesce("ina", "a"), "inb": F.coalesce("inb", "b")})
+        star = star.join(star.where("ina <> inb").select("b").distinct(), "b", "left_semi")
+        found = found.union(cut(_near_links(star)))
+        short, long = _split(_far_lists(star, hot), list_rows)
+        last = turn + 1 == rounds or long.isEmpty()
+        pairs, lists = _far_pairs(short.union(long) if last else short, sets, k), None if last else long
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,11 +340,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(tops)
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SKETCH, list_rows: int = LIST_ROWS) -> DataFrame:
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SKETCH, list_rows: int = LIST_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id``, ``kept``."""
     all_ = cut(sketches(docs, id_col, text_col, k))
     sets = cut(all_.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")))
-    found = components(links(docs, sets, id_col=id_col, text_col=text_col, k=k, list_rows=list_rows))
+    found = components(links(docs, sets, id_col=id_col, text_col=text_col, k=k, list_rows=list_rows, rounds=rounds))
     top = sets.select("s1", "s2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     top = top.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     labelled = all_.select("id", "n", "s1", "s2").join(top, ["s1", "s2", "n"], "left")

@@ -99,6 +99,33 @@ def test_half_hot_sketch(spark):
     assert got(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
 
 
+def test_two_boilerplates(spark):
+    """A and B are alike, but the pages that each is closest to are not."""
+    rng = random.Random(8)
+    x, y, s, t = words(rng, 45), words(rng, 45), [words(rng, 22) for _ in range(60)], [words(rng, 22) for _ in range(60)]
+    s, t = [s[0]] * 60, [t[0]] * 60
+    rows = [(i, f"{x} {s[i]} u{i}x {words(rng, 3)}") for i in range(60)] + [(60 + i, f"{y} {t[i]} v{i}x {words(rng, 3)}") for i in range(60)]
+    rows += [(200, f"{x} {s[0]} a {y}"), (201, f"{x} b {y} {t[0]}")]
+    want = brute(rows)
+    assert got(spark.createDataFrame(rows, "doc_id bigint, text string")) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shared_paragraphs(spark, seed):
+    """Documents of two to four of a few paragraphs, of several lengths, in any
+    order, with some words of their own: long lists of every kind."""
+    rng = random.Random(100 + seed)
+    paragraphs = [words(rng, rng.choice([20, 40, 80, 200])) for _ in range(5)]
+    rows = []
+    for i in range(500):
+        w = " ".join(rng.sample(paragraphs, rng.randint(2, 4))).split()
+        for _ in range(rng.choice([0, 1, 2, 4, 8])):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        rows.append((i, " ".join([*w, *words(rng, rng.choice([1, 3, 10, 30])).split()])))
+    rng.shuffle(rows)
+    assert got(spark.createDataFrame(rows, "doc_id bigint, text string"), list_rows=8 if seed % 2 else N.LIST_ROWS, rounds=1 + seed % 3) == brute(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(40, 50), (41, 50), (60, 60), (42, 41)]
     found = dict(map(tuple, N.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
