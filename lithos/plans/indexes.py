@@ -95,6 +95,7 @@ class ValueIndex:
 
 def load_index(world: World, path: str, component: str, kind: str, tick: int) -> ValueIndex:
     """An index saved before; ``tick`` is the world's tick it was in step with."""
+    storage.settled(world.spark, path)
     m = json.loads(storage.read_text(world.spark, f"{path}/manifest.json"))
     if (m["component"], m["kind"]) != (component, kind) or m["type"] != world.types[component].json():
         raise FormatError(f"{path} holds a {m['kind']} index of {m['component']}")

@@ -29,7 +29,7 @@ class AutoCheckpoint:
 
 def recover(spark: SparkSession, path: str, wal: Wal, fresh: World) -> World:
     """The last snapshot, or ``fresh``, with the rest of the log replayed."""
-    world = snapshot.load(spark, path) if storage.exists(spark, f"{path}/manifest.json") else fresh
+    world = snapshot.load(spark, path) if storage.settled(spark, path) and storage.exists(spark, f"{path}/manifest.json") else fresh
     wal.replay(world, wal.acknowledged)
     return world
 

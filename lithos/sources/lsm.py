@@ -48,7 +48,7 @@ class LsmStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         at = f"{path}/manifest.jsonl"
-        text = storage.read_text(spark, at) if storage.exists(spark, at) else ""
+        text = storage.read_text(spark, at) if storage.settled(spark, at) else ""
         self.runs: list[Run] = []
         for line in text.splitlines():
             try:

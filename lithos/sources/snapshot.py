@@ -38,6 +38,7 @@ def save(world: World, path: str) -> None:
 def load(spark: SparkSession, path: str, expected: dict[str, T.DataType] | None = None) -> World:
     """The world as saved. Components are found by name; those that the caller
     expects must have the same type."""
+    storage.settled(spark, path)
     m = json.loads(storage.read_text(spark, f"{path}/manifest.json"))
     world = World(spark)
     world.types = {k: T._parse_datatype_json_value(v) for k, v in m["types"].items()}

@@ -33,17 +33,41 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
-def replace(spark: SparkSession, source: str, target: str) -> None:
-    """Rename a folder over another; readers see the old or the new one."""
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename, or raise: the file system's own answer is a flag."""
     fs, s = _fs(spark, source)
     _, t = _fs(spark, target)
-    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}.old")
-    if fs.exists(t):
-        fs.delete(old, True)
-        fs.rename(t, old)
     fs.mkdirs(t.getParent())
-    fs.rename(s, t)
-    fs.delete(old, True)
+    if not fs.rename(s, t):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder or file over another. What was there before goes to
+    ``target.old`` until the new one is in place, and comes back if that fails;
+    `settled` finds it after a crash in between."""
+    old = f"{target}.old"
+    if exists(spark, target):
+        delete(spark, old)
+        move(spark, target, old)
+    try:
+        move(spark, source, target)
+    except Exception:
+        if exists(spark, old) and not exists(spark, target):
+            move(spark, old, target)
+        raise
+    delete(spark, old)
+
+
+def settled(spark: SparkSession, target: str) -> bool:
+    """Whether ``target`` is there, after bringing back what a crash in the midst
+    of `replace` left as ``target.old``."""
+    if exists(spark, target):
+        return True
+    if exists(spark, f"{target}.old"):
+        move(spark, f"{target}.old", target)
+        return True
+    return False
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -128,3 +128,25 @@ def test_checkpoint_and_recovery(spark, tmp_path):
     s = Store()
     release(spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("b",)], "k string"), "k", s)
     assert s.keys == ["a"]
+
+
+def test_replace_restores_and_settles(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    storage.write_text(spark, at("a"), "old")
+    with pytest.raises(OSError):
+        storage.replace(spark, at("missing"), at("a"))
+    assert storage.read_text(spark, at("a")) == "old" and not storage.exists(spark, at("a.old"))
+    storage.write_text(spark, at("b"), "new")
+    storage.replace(spark, at("b"), at("a"))
+    assert storage.read_text(spark, at("a")) == "new" and not storage.exists(spark, at("a.old"))
+    storage.move(spark, at("a"), at("a.old"))  # as a crash between the renames leaves it
+    assert storage.settled(spark, at("a")) and storage.read_text(spark, at("a")) == "new" and not storage.settled(spark, at("c"))
+
+
+def test_crash_in_the_midst_of_a_manifest(spark, tmp_path):
+    w, store = make(spark), lsm.LsmStore(spark, str(tmp_path / "lsm"))
+    w.spawn(A=1)
+    store.flush(w, 0)
+    storage.move(spark, str(tmp_path / "lsm" / "manifest.jsonl"), str(tmp_path / "lsm" / "manifest.jsonl.old"))
+    again = lsm.LsmStore(spark, str(tmp_path / "lsm"))
+    assert again.runs == store.runs and again.cleanup_orphans() == []
