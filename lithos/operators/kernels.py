@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithos.functions.torus import clamp, wrap
@@ -122,29 +123,47 @@ def worm_metabolism(rows: DataFrame, *, rate: float = 1.0, dt: float = 1.0) -> D
     return rows.withColumns({"energy": energy, "worm_size": size})
 
 
-def circuit(spark: SparkSession, parameters: DataFrame, steps: int = 1000, dt: float = 1e-5) -> DataFrame:
-    """Waveforms of a 555 astable timer into a damped LCR low-pass and a
-    saturating inverting amplifier. Each parameter set (``sim, r1, r2, c, l, rl,
-    cl, gain``) is a serial integration in one task; sets run in parallel."""
+# Fixed values of the circuit: a 555 astable timer drives a source resistor, an
+# inductor and a loaded filter capacitor, and a unity-gain follower reads the
+# filter. Ohms, farads, henries, volts, volts a second.
+TIMER_R1, TIMER_R2, TIMER_C = 10e3, 10e3, 10e-9
+DRIVE_DROP, DRIVE_LOW = 1.5, 0.2
+SOURCE_R, LOAD_R, COIL_L, INPUT_C, FILTER_C = 1e3, 10e3, 10e-3, 1e-10, 100e-9
+GAIN, SLEW, HEADROOM = 200_000.0, 0.5e6, 2.0
+
+
+def circuit(parameters: DataFrame, steps: int = 1000, sample_every: int = 20) -> DataFrame:
+    """Waveforms ``sim, time, v_555, v_filter, v_opamp``, one row for every
+    ``sample_every`` steps of each parameter set (``sim, vcc, dt``). A set is a
+    serial integration; the sets of a batch advance together as vectors, and
+    batches run in parallel. Null or non-positive values are an error."""
+    if sample_every < 1:
+        raise ValueError("sample_every is at least 1")
+    names = ["sim", "time", "v_555", "v_filter", "v_opamp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vcc = 5.0
         for batch in batches:
-            for p in batch.to_pylist():
-                cap, high, current, out = 0.0, True, 0.0, 0.0
-                rows = {"sim": [], "time": [], "v_555": [], "v_filter": [], "v_opamp": []}
-                for k in range(steps):
-                    # Charge through r1 + r2, discharge through r2, turn at thirds.
-                    goal, tau = (vcc, (p["r1"] + p["r2"]) * p["c"]) if high else (0.0, p["r2"] * p["c"])
-                    cap += (goal - cap) * dt / tau
-                    high = cap < 2 * vcc / 3 if high else cap <= vcc / 3
-                    drive = vcc if high else 0.0
-                    current += (drive - out - p["rl"] * current) * dt / p["l"]
-                    out += current * dt / p["cl"]
-                    amp = min(max(-p["gain"] * (out - vcc / 2), -vcc), vcc)
-                    for name, v in zip(rows, (p["sim"], (k + 1) * dt, drive, out, amp), strict=True):
-                        rows[name].append(v)
-                yield pa.RecordBatch.from_pydict(rows)
-
-    source = parameters.select(F.col("sim").cast("long").alias("sim"), *[F.col(c).cast("double").alias(c) for c in ("r1", "r2", "c", "l", "rl", "cl", "gain")])
+            sim, vcc, dt = (batch.column(i).to_numpy(zero_copy_only=False).astype(t) for i, t in enumerate((np.int64, float, float)))
+            if not (np.isfinite(vcc) & np.isfinite(dt) & (vcc > 0) & (dt > 0)).all():
+                raise ValueError("vcc and dt are finite and positive")
+            charge, v_in, v_filter, v_out, coil = (np.zeros(len(sim)) for _ in range(5))
+            high = np.ones(len(sim), dtype=bool)
+            for k in range(1, steps + 1):
+                # The timer's capacitor, held at the threshold that turns it.
+                charge = charge + np.where(high, (vcc - charge) / (TIMER_R1 + TIMER_R2), -charge / TIMER_R2) * dt / TIMER_C
+                top, low = high & (charge >= 2 * vcc / 3), ~high & (charge <= vcc / 3)
+                charge = np.where(top, 2 * vcc / 3, np.where(low, vcc / 3, charge))
+                high = (high & ~top) | low
+                drive = np.where(high, vcc - DRIVE_DROP, DRIVE_LOW)
+                # Currents from the voltages before, then the coil, then the nodes.
+                source, load = (drive - v_in) / SOURCE_R, v_filter / LOAD_R
+                coil = coil + (v_in - v_filter) / COIL_L * dt
+                v_in, v_filter = v_in + (source - coil) / INPUT_C * dt, v_filter + (coil - load) / FILTER_C * dt
+                most = vcc - HEADROOM
+                wish = np.clip(GAIN * (v_filter - v_out), -most, most)
+                v_out = v_out + np.clip(wish - v_out, -SLEW * dt, SLEW * dt)
+                if k % sample_every == 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sim, k * dt, drive, v_filter, v_out)], names=names)
+
+    source = parameters.select(F.col("sim").cast("long").alias("sim"), F.col("vcc").cast("double").alias("vcc"), F.col("dt").cast("double").alias("dt"))
     return source.mapInArrow(run, "sim bigint, time double, v_555 double, v_filter double, v_opamp double")

@@ -149,5 +149,32 @@ SELECT entity_id, other, round(dx * dx + dy * dy, 4) AS d2 FROM d WHERE dx * dx
 WITH w AS (SELECT p_partkey AS entity_id, p_partkey * 7.0::DOUBLE - floor(p_partkey * 7.0::DOUBLE / 500) * 500 AS x, p_size / 8.0::DOUBLE AS h, least(greatest(p_size / 100.0::DOUBLE, 0.1), 1.0) AS step FROM part),
 m AS (SELECT entity_id, x + cos(h) * step AS x, 1.0 + sin(h) * step AS y FROM w)
 SELECT entity_id, round(x - floor(x / 500) * 500, 4) AS pos_x, round(y - floor(y / 500) * 500, 4) AS pos_y FROM m
+""",
+    "gravity_step": """
+WITH b AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey * 19.5::DOUBLE AS x, n_regionkey * 97.0::DOUBLE AS y, 1.0::DOUBLE + n_regionkey AS m FROM nation),
+p AS (SELECT a.id, c.m, c.x - a.x AS dx0, c.y - a.y AS dy0 FROM b a JOIN b c ON a.id <> c.id),
+d AS (SELECT id, m, dx0 - 500 * round(dx0 / 500) AS dx, dy0 - 500 * round(dy0 / 500) AS dy FROM p),
+f AS (SELECT id, sum(m * dx / power(dx * dx + dy * dy + 1, 1.5)) * 0.1::DOUBLE AS vx, sum(m * dy / power(dx * dx + dy * dy + 1, 1.5)) * 0.1::DOUBLE AS vy FROM d GROUP BY id),
+s AS (SELECT b.id, b.x + f.vx * 0.1::DOUBLE AS x, b.y + f.vy * 0.1::DOUBLE AS y, f.vx, f.vy FROM b JOIN f USING (id))
+SELECT id AS entity_id, round(x - floor(x / 500) * 500, 6) AS pos_x, round(y - floor(y / 500) * 500, 6) AS pos_y, round(vx, 6) AS vel_x, round(vy, 6) AS vel_y FROM s
+""",
+    "boids_step": """
+WITH b AS (
+  SELECT s_suppkey AS id, s_acctbal - floor(s_acctbal / 500) * 500 AS x, s_suppkey * 37.5::DOUBLE - floor(s_suppkey * 37.5::DOUBLE / 500) * 500 AS y,
+    cos(s_nationkey) AS vx, sin(s_nationkey) AS vy FROM supplier),
+p AS (SELECT a.id, c.vx AS ovx, c.vy AS ovy, c.x - a.x AS dx0, c.y - a.y AS dy0 FROM b a JOIN b c ON a.id <> c.id),
+q AS (SELECT id, ovx, ovy, dx0 - 500 * round(dx0 / 500) AS dx, dy0 - 500 * round(dy0 / 500) AS dy FROM p),
+d AS (SELECT *, sqrt(dx * dx + dy * dy) AS d FROM q WHERE dx * dx + dy * dy >= 0.000001 AND dx * dx + dy * dy < 2500),
+m AS (
+  SELECT id, avg(-dx / (d * d)) FILTER (WHERE d < 25) AS sx, avg(-dy / (d * d)) FILTER (WHERE d < 25) AS sy,
+    avg(ovx) AS ax, avg(ovy) AS ay, avg(dx) AS cx, avg(dy) AS cy FROM d GROUP BY id),
+f AS (
+  SELECT b.*, coalesce(sx, 0) * 1.5::DOUBLE + coalesce(ax - vx, 0) + coalesce(cx, 0) AS fx, coalesce(sy, 0) * 1.5::DOUBLE + coalesce(ay - vy, 0) + coalesce(cy, 0) AS fy
+  FROM b LEFT JOIN m USING (id)),
+a AS (SELECT *, CASE WHEN sqrt(fx * fx + fy * fy) > 0.5 THEN 0.5::DOUBLE / sqrt(fx * fx + fy * fy) ELSE 1.0::DOUBLE END AS k FROM f),
+v AS (SELECT id, x, y, vx + fx * k AS vx, vy + fy * k AS vy FROM a),
+w AS (SELECT *, CASE WHEN sqrt(vx * vx + vy * vy) > 4 THEN 4::DOUBLE / sqrt(vx * vx + vy * vy) ELSE 1.0::DOUBLE END AS k FROM v),
+s AS (SELECT id, vx * k AS vx, vy * k AS vy, x + vx * k AS x, y + vy * k AS y FROM w)
+SELECT id AS entity_id, round(x - floor(x / 500) * 500, 6) AS pos_x, round(y - floor(y / 500) * 500, 6) AS pos_y, round(vx, 6) AS vel_x, round(vy, 6) AS vel_y FROM s
 """,
 }

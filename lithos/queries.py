@@ -387,11 +387,9 @@ def neighbours_within(spark, sf_dir):
 
 @query
 def circuit_waveform(spark, sf_dir):
-    sets = read(spark, sf_dir, "region").select(
-        F.col("r_regionkey").alias("sim"), F.lit(1e3).alias("r1"), (1e4 + F.col("r_regionkey") * 1e3).alias("r2"), F.lit(1e-7).alias("c"),
-        F.lit(0.1).alias("l"), F.lit(100.0).alias("rl"), F.lit(1e-6).alias("cl"), F.lit(2.0).alias("gain"),
-    )
-    return kernels.circuit(spark, sets, 200)
+    """A supply voltage for each region."""
+    sets = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("sim"), (9.0 + F.col("r_regionkey")).alias("vcc"), F.lit(1e-7).alias("dt"))
+    return kernels.circuit(sets, 4000)
 
 
 @query

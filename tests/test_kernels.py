@@ -93,10 +93,43 @@ def test_worms(spark):
     assert fed[1].energy == 48 and fed[1].worm_size == 1 and fed[2].energy == 0 and fed[2].worm_size == pytest.approx(0.5)
 
 
-def test_circuit_is_bounded(spark):
-    sets = spark.createDataFrame([(1, 1e3, 1e4, 1e-7, 0.1, 100.0, 1e-6, 2.0)], "sim int, r1 double, r2 double, c double, l double, rl double, cl double, gain double")
-    rows = kernels.circuit(spark, sets, 500).collect()
-    assert len(rows) == 500 and {r.v_555 for r in rows} == {0.0, 5.0} and all(abs(r.v_opamp) <= 5 for r in rows)
+def _waveform(vcc, dt, steps, every):
+    """One circuit in plain numbers: node voltages by name, currents summed."""
+    cap, high, coil, out = 0.0, True, 0.0, 0.0
+    v = {"in": 0.0, "filter": 0.0}
+    for k in range(1, steps + 1):
+        if high:
+            cap += (vcc - cap) / 20e3 * dt / 10e-9
+            if cap >= vcc * 2 / 3:
+                cap, high = vcc * 2 / 3, False
+        else:
+            cap -= cap / 10e3 * dt / 10e-9
+            if cap <= vcc / 3:
+                cap, high = vcc / 3, True
+        drive = vcc - 1.5 if high else 0.2
+        current = {"in": (drive - v["in"]) / 1e3, "filter": -v["filter"] / 10e3}
+        coil += (v["in"] - v["filter"]) / 10e-3 * dt
+        current["in"] -= coil
+        current["filter"] += coil
+        v["in"] += current["in"] / 1e-10 * dt
+        v["filter"] += current["filter"] / 100e-9 * dt
+        ideal = max(min(200_000 * (v["filter"] - out), vcc - 2), 2 - vcc)
+        out = ideal if abs(ideal - out) <= 0.5e6 * dt else out + math.copysign(0.5e6 * dt, ideal - out)
+        if k % every == 0:
+            yield k * dt, drive, v["filter"], out
+
+
+def test_circuit_against_plain_numbers(spark):
+    sets = spark.createDataFrame([(1, 12.0, 1e-7), (2, 5.0, 1e-7), (3, 9.0, 5e-8)], "sim int, vcc double, dt double")
+    got = {}
+    for r in kernels.circuit(sets, 6000).orderBy("sim", "time").collect():
+        got.setdefault(r.sim, []).append(tuple(r)[1:])
+    for sim, vcc, dt in ((1, 12.0, 1e-7), (2, 5.0, 1e-7), (3, 9.0, 5e-8)):
+        want = list(_waveform(vcc, dt, 6000, 20))
+        assert len(got[sim]) == 300 and np.allclose(got[sim], want, rtol=1e-6, atol=1e-9)
+        assert {w[1] for w in want} == {vcc - 1.5, 0.2}
+    with pytest.raises(Exception, match="finite and positive"):
+        kernels.circuit(spark.createDataFrame([(1, -1.0, 1e-7)], "sim int, vcc double, dt double")).collect()
 
 
 def test_builtin_reducers(spark):
