@@ -4,6 +4,7 @@ cutting lineage, and vectorised word hashing over UTF-8 bytes."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lithos.lineage import cut, shared_folder
 
-__all__ = ["BLOCK", "Words", "chunks", "cut", "joined", "mix", "ranked", "shared_folder", "ship", "texts_as_bytes", "window_hashes"]
+__all__ = ["BLOCK", "Words", "chunks", "cut", "joined", "mix", "ranked", "shared_folder", "ship", "texts_as_bytes", "window_hashes", "written"]
 
 #: Bytes of text that one numpy block holds; bounds a Python worker's memory.
 BLOCK = 1 << 20
@@ -41,6 +42,16 @@ def ship(spark: SparkSession) -> None:
     sc._lithos_shipped = True
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder. Unlike a checkpoint, whose size
+    estimate is that of its plan and multiplies with every join of a loop, a
+    table has the size of its files, so joins with small ones are broadcast."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser, so that high bits are uniform."""
     x = x ^ (x >> np.uint64(30))
@@ -138,12 +149,14 @@ def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     return raw, np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(texts) else np.zeros(0, dtype=np.int64)
 
 
-def ranked(df: DataFrame, group: str, order: list[str], rows_in_task: int = RANK_ROWS, total: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list[str], rows_in_task: int = RANK_ROWS, total: int | None = None, first: str | None = None) -> DataFrame:
     """Adds ``rank``: gapless from 0 within ``group``. A group of any size is
-    dealt over hash buckets, ranked in each, and shifted by bucket offsets."""
+    dealt over hash buckets, ranked in each, and shifted by bucket offsets.
+    ``first`` is a small number by which ranks rise before all else."""
     total = df.count() if total is None else total
     n = 1 + total // rows_in_task
-    hashed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)))
+    bucket = F.pmod(F.xxhash64(*order), F.lit(n))
+    hashed = df.withColumn("_bucket", bucket if first is None else F.col(first).cast("long") * n + bucket)
     sizes = hashed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(

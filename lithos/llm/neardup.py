@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithos.llm._common import Words, chunks, cut, joined, mix, ship, texts_as_bytes, window_hashes
+from lithos.llm._common import Words, chunks, cut, joined, mix, ship, texts_as_bytes, window_hashes, written
 
 #: Words are runs of anything but blank, tab, line feed to carriage return.
 IS_WORD = np.ones(256, dtype=bool)
@@ -225,7 +225,7 @@ def _pairs_in_lists(lists: DataFrame, sets: DataFrame, k: int) -> DataFrame:
 def _split(lists: DataFrame, list_rows: int) -> tuple[DataFrame, DataFrame]:
     """Lists of two to ``list_rows`` members, and longer ones."""
     sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    both = cut(lists.join(sizes, "v"))
+    both = written(lists.join(sizes, "v"))
     return both.where(F.col("c") <= list_rows), both.where(F.col("c") > list_rows)
 
 
@@ -258,7 +258,7 @@ def _near_links(star: DataFrame) -> DataFrame:
     posts = posts.join(sizes, ["b", "e"])
     # `left`: shared elements from this one on, in the order of rarest first.
     order = Window.partitionBy("a", "b").orderBy(F.col("size").desc(), "e")
-    posts = cut(posts.withColumn("left", F.row_number().over(order)).where("mixed").drop("mixed"))
+    posts = written(posts.withColumn("left", F.row_number().over(order)).where("mixed").drop("mixed"))
     light = posts.where("7 * left >= 7 * m - na").select("b", "e", "size", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("c").alias("cx"), F.col("m").alias("mx"), F.col("left").alias("lx"))
     heavy = posts.where("3 * left >= 3 * m - na").select("b", "e", "size", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("c").alias("cy"), F.col("m").alias("my"), F.col("left").alias("ly"))
     meet = _dealt(light, heavy, ["b", "e"], "x", "size").where(
@@ -274,6 +274,9 @@ def _near_links(star: DataFrame) -> DataFrame:
 def _far_lists(star: DataFrame, hot: DataFrame) -> DataFrame:
     """Lists of members of a star that share a sampled element outside its pivot:
     ``v, rep, n, h, level, own, part_of``."""
+    # Levels at which a star has far members; the others need no list.
+    levels = star.where("level > 0").groupBy("b").agg(F.collect_set("level").alias("levels"))
+    star = star.join(levels, "b").withColumn("far", F.filter("far", lambda p: F.array_contains("levels", p["level"])))
     posts = star.select("a", "b", "na", "ina", F.col("level").alias("own"), F.explode("far").alias("p"))
     posts = posts.select(F.xxhash64("b", "p.level", "p.e").alias("v"), F.col("a").alias("rep"), F.col("na").alias("n"), F.col("ina").alias("part_of"), F.col("p.level").alias("level"), "own")
     useful = posts.groupBy("v").agg(F.min("part_of").alias("l"), F.max("part_of").alias("r"), F.max(F.col("own") == F.col("level")).alias("met")).where("l <> r AND met").select("v")
@@ -287,33 +290,52 @@ def _far_pairs(lists: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     return _likely(pairs.select("a", "b").distinct(), sets, k).withColumn("star", F.lit(False))
 
 
-def links(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, k: int = SKETCH, list_rows: int = LIST_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """Exact links ``a, b`` between representatives that suffice for the
-    components."""
+def clusters(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, k: int = SKETCH, list_rows: int = LIST_ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """``id, component`` of every representative that links with another."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     postings = sets.select("rep", "n", F.posexplode("sketch").alias("place", "v"))
     cold, lists = _split(postings, list_rows)
     hot = lists.groupBy("rep").agg(F.count(F.lit(1)).alias("h")).join(sets.select("rep", F.size("sketch").alias("z")), "rep").where(F.col("h") > HOT_SHARE * F.col("z")).select("rep", "h")
-    hot = cut(hot)
+    hot = written(hot)
     lists = lists.where(F.col("place") < HOT_VALUES).join(hot, "rep")
-    pairs, found = _pairs_in_lists(cold, sets, k), None
+    pairs, known = _pairs_in_lists(cold, sets, k), None
     for turn in range(rounds + 1):
-        todo = cut(pairs.unionByName(_stars(lists)) if lists is not None else pairs)
-        done = cut(_compare(todo, texts))
-        new = done.where(_linked()).select("a", "b")
-        found = new if found is None else found.union(new)
-        star = done.where("star")
-        if lists is None or star.isEmpty():
+        todo = written(pairs.unionByName(_stars(lists)) if lists is not None else pairs)
+        if known is not None and todo.isEmpty():
             break
-        known = components(found)
-        of = lambda x: known.select(F.col("id").alias(x), F.col("component").alias(f"in{x}"))  # noqa: B023, E731
-        star = star.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ina": F.coalesce("ina", "a"), "inb": F.coalesce("inb", "b")})
-        star = star.join(star.where("ina <> inb").select("b").distinct(), "b", "left_semi")
-        found = found.union(cut(_near_links(star)))
-        short, long = _split(_far_lists(star, hot), list_rows)
+        done = written(_compare(todo, texts))
+        known = merged(known, done.where(_linked()).select("a", "b"))
+        if lists is None:
+            break
+        star = _placed(done.where("star"), known)
+        star = written(star.join(star.where("ina <> inb").select("b").distinct(), "b", "left_semi"))
+        if star.isEmpty():
+            break
+        known = merged(known, _near_links(star))
+        far = written(_far_lists(_placed(star.drop("ina", "inb"), known), hot))
+        if far.isEmpty():
+            break
+        short, long = _split(far, list_rows)
         last = turn + 1 == rounds or long.isEmpty()
         pairs, lists = _far_pairs(short.union(long) if last else short, sets, k), None if last else long
-    return found
+    return known
+
+
+def _placed(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with the components that they are in: ``ina, inb``."""
+    of = lambda x: known.select(F.col("id").alias(x), F.col("component").alias(f"in{x}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ina": F.coalesce("ina", "a"), "inb": F.coalesce("inb", "b")})
+
+
+def merged(known: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``known`` components after more edges, which are contracted to edges of
+    components first."""
+    if known is None:
+        return written(components(edges))
+    top = components(_placed(edges, known).select(F.col("ina").alias("a"), F.col("inb").alias("b")))
+    up = top.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    old = known.join(up, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return written(old.union(top.join(known, "id", "left_anti").select("id", "component")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -323,15 +345,14 @@ def components(edges: DataFrame) -> DataFrame:
     def print_(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = print_(e)
     while last[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(large.join(lows, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v"))).distinct())
+        e = written(large.join(lows, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v"))).distinct())
         now = print_(e)
         if now == last:
             break
@@ -344,7 +365,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     """One row per document: id, ``n_shingles``, ``component_id``, ``kept``."""
     all_ = cut(sketches(docs, id_col, text_col, k))
     sets = cut(all_.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")))
-    found = components(links(docs, sets, id_col=id_col, text_col=text_col, k=k, list_rows=list_rows, rounds=rounds))
+    found = clusters(docs, sets, id_col=id_col, text_col=text_col, k=k, list_rows=list_rows, rounds=rounds)
     top = sets.select("s1", "s2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     top = top.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     labelled = all_.select("id", "n", "s1", "s2").join(top, ["s1", "s2", "n"], "left")
