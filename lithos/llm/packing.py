@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 
 from lithos.llm._common import chunks, cut, ranked, ship
 
+#: Runs of white space that the vocabulary's pattern can't take in one go.
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}")
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str):
     """The vocabulary at ``path`` (a rank file), without special tokens: their
@@ -59,11 +63,30 @@ def _added() -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
+def _ordinary(path: str):
+    """Ids of ordinary text. The pattern takes a run of white space whole at the
+    end of a text, and else all but its last character; very long runs are cut
+    off so before the pattern sees them, because it would run out of stack."""
+    vocabulary_ = _encoder(path)
+
+    def run(text: str) -> list[int]:
+        ids, at = [], 0
+        if len(text) >= 65536:
+            for m in LONG_BLANK.finditer(text):
+                end = m.end() - (m.end() < len(text))
+                ids += vocabulary_.encode_ordinary(text[at : m.start()])
+                ids += vocabulary_._core_bpe.encode_single_piece(text[m.start() : end].encode())
+                at = end
+        return ids + vocabulary_.encode_ordinary(text[at:])
+
+    return run
+
+
 def encoder(ranks: str | None = None):
     """The ids of a text as ``byte_bpe_50k.json`` gives them without special tokens
     around it: added tokens in the text are one id each. A rank file of one's own
     has none."""
-    encode = _encoder(ranks or vocabulary()).encode_ordinary
+    encode = _ordinary(ranks or vocabulary())
     added = {} if ranks else _added()
     if not added:
         return encode
@@ -77,16 +100,21 @@ def encoder(ranks: str | None = None):
     return run
 
 
-_PIECES = "{id} bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+#: What a piece is; the id has a name of its own until the end.
+_PIECE = ("_id", "start", "length", "ids_crc32", "doc_tokens")
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 1024, end_id: int = 0, ranks: str | None = None) -> DataFrame:
     """Tokenise and cut: one row per piece of at most ``width`` ids."""
+    return _pieces(docs, id_col, text_col, width, end_id, ranks).toDF(id_col, *_PIECE[1:])
+
+
+def _pieces(docs: DataFrame, id_col: str, text_col: str, width: int, end_id: int, ranks: str | None) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks)
-        for batch in chunks(batches, text_col):
+        for batch in chunks(batches, "_text"):
             keys = batch.column(0).to_pylist()
             out = ([], [], [], [], [])
             for key, text in zip(keys, batch.column(1).to_pylist(), strict=True):
@@ -97,18 +125,25 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
                     b = min(len(ids), a + width)
                     for col, v in zip(out, (key, a, b - a, zlib.crc32(flat[4 * a : 4 * b]), len(ids)), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=list(_PIECE))
 
-    source = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return source.mapInArrow(run, _PIECES.format(id=f"`{id_col}`"))
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return source.mapInArrow(run, ", ".join(f"{c} bigint" for c in _PIECE))
 
 
 # ---------------------------------------------------------------- the program
 
 
-def _price(duals: np.ndarray, width: int) -> tuple[float, np.ndarray]:
-    """The pattern of the largest total dual, by unbounded knapsack.
-    ``duals[l]`` is the dual of length ``l``."""
+#: Columns that one run of the dynamic program may bring in.
+COLUMNS = 16
+#: Share of the lower bound that the program's value may stay above it.
+GAP = 1e-4
+
+
+def _price(duals: np.ndarray, width: int, most: int = COLUMNS) -> tuple[float, list[np.ndarray]]:
+    """Patterns of large total dual, the largest first, and that total, by one
+    unbounded knapsack. ``duals[l]`` is the dual of length ``l``. The others are
+    the best patterns that hold one more given length."""
     lengths = np.flatnonzero(duals > 1e-12)
     best = np.zeros(width + 1)
     choice = np.zeros(width + 1, dtype=np.int64)
@@ -122,24 +157,31 @@ def _price(duals: np.ndarray, width: int) -> tuple[float, np.ndarray]:
             j = int(v.argmax())
             if v[j] > best[c] + 1e-12:
                 best[c], choice[c] = v[j], lengths[j]
-    pattern, c = np.zeros(width + 1, dtype=np.int64), width
-    while c > 0:
-        if choice[c]:
-            pattern[choice[c]] += 1
-            c -= choice[c]
-        else:
-            c -= 1
-    return float(best[width]), pattern
 
+    def filled(c: int, first: int) -> np.ndarray:
+        pattern = np.zeros(width + 1, dtype=np.int64)
+        pattern[first] += first > 0
+        while c > 0:
+            if choice[c]:
+                pattern[choice[c]] += 1
+                c -= choice[c]
+            else:
+                c -= 1
+        return pattern
 
-def solve(demand: dict[int, int], width: int, gap: float = 0.002, most_columns: int = 300) -> list[tuple[int, dict[int, int]]]:
+    with_one = np.argsort(-(gain + best[width - lengths]), kind="stable")[: most - 1]
+    return float(best[width]), [filled(width, 0), *(filled(width - int(lengths[j]), int(lengths[j])) for j in with_one)]
+
+
+def solve(demand: dict[int, int], width: int) -> list[tuple[int, dict[int, int]]]:
     """Patterns ``(copies, {length: number})`` that cover ``demand`` exactly,
     none longer than ``width``.
 
     The first basis is the greedy packing: each of its patterns uses up a
-    length, so its matrix is triangular. Columns are then generated until the
-    bound (of the summed lengths, or of the duals over the best price) shows
-    that at most ``gap`` is left to gain, or ``most_columns`` were added."""
+    length, so its matrix is triangular. Columns are priced and generated until
+    no column gains, or the program's value is proven: rounded up it is that of
+    its lower bound (the summed lengths, or the duals over the best price), or
+    above it by a share of ``GAP`` at most."""
     demand = {k: v for k, v in demand.items() if v}
     if not demand:
         return []
@@ -163,29 +205,36 @@ def solve(demand: dict[int, int], width: int, gap: float = 0.002, most_columns:
             if k != done:
                 below[row[k]].append((r, a))
     least = float((lengths * need).sum()) / width
-    for _ in range(most_columns):
-        if x.sum() <= max(least * (1 + gap), least + 0.5):
-            break
+    # A small extra demand breaks ties in the ratios, so that no basis returns.
+    x = np.maximum(x + (inverse * (need * np.random.default_rng(1).uniform(0, 1e-8, m))).sum(axis=1), 0)
+    idle = 0
+    while np.ceil(x.sum() - 1e-6) > np.ceil(least - 1e-6) and x.sum() > least * (1 + GAP):
         duals = np.zeros(width + 1)
         duals[lengths] = np.maximum(inverse.sum(axis=0), 0)
-        value, pattern = _price(duals, width)
-        if value > 0:
-            least = max(least, float(duals[lengths] @ need) / value)
-        column = pattern[lengths].astype(float)
-        some = np.flatnonzero(column)
-        step = (inverse[:, some] * column[some]).sum(axis=1)
-        rows = np.flatnonzero(step > 1e-9)
-        if step.sum() <= 1 + 1e-9 or not len(rows):  # no reduced cost to gain
+        value, found = _price(duals, width)
+        least = max(least, float(duals[lengths] @ need) / value)
+        if value <= 1 + 1e-9:
+            break
+        before = x.sum()
+        for pattern in found:
+            column = pattern[lengths].astype(float)
+            some = np.flatnonzero(column)
+            step = (inverse[:, some] * column[some]).sum(axis=1)
+            rows = np.flatnonzero(step > 1e-9)
+            if step.sum() <= 1 + 1e-9 or not len(rows):  # the last pivot took its gain
+                continue
+            ratio = x[rows] / step[rows]
+            r = int(rows[ratio.argmin()])
+            theta = float(ratio.min())
+            pivot = inverse[r] / step[r]
+            inverse -= np.outer(step, pivot)
+            inverse[r] = pivot
+            x = np.maximum(x - theta * step, 0)
+            x[r] = theta
+            columns[:, r] = column
+        idle = 0 if x.sum() < before * (1 - 1e-12) else idle + 1
+        if idle > m:  # rounding errors only
             break
-        ratio = x[rows] / step[rows]
-        r = int(rows[ratio.argmin()])
-        theta = float(ratio.min())
-        pivot = inverse[r] / step[r]
-        inverse -= np.outer(step, pivot)
-        inverse[r] = pivot
-        x = np.maximum(x - theta * step, 0)
-        x[r] = theta
-        columns[:, r] = column
     left = need.astype(np.int64)
     copies = np.zeros(m, dtype=np.int64)
     whole = np.rint(columns).astype(np.int64)
@@ -239,11 +288,11 @@ def _greedy(demand: dict[int, int], width: int) -> list[tuple[int, dict[int, int
     return out
 
 
-def plan(histogram: dict[int, int], width: int, gap: float = 0.002) -> np.ndarray:
+def plan(histogram: dict[int, int], width: int) -> np.ndarray:
     """Assignment table, a row for each (pattern, length): length, first rank,
     pieces of it in one sequence, first sequence, offset. Sorted by length and
     rank; at most a few rows for each length and pattern."""
-    patterns = solve({k: v for k, v in histogram.items() if k < width}, width, gap)
+    patterns = solve({k: v for k, v in histogram.items() if k < width}, width)
     if histogram.get(width):
         patterns.append((histogram[width], {width: 1}))
     used: dict[int, int] = {}
@@ -262,16 +311,16 @@ def plan(histogram: dict[int, int], width: int, gap: float = 0.002) -> np.ndarra
 # ------------------------------------------------------------ the whole corpus
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 1024, end_id: int = 0, ranks: str | None = None, gap: float = 0.002) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 1024, end_id: int = 0, ranks: str | None = None) -> DataFrame:
     """One row per piece with its ``sequence_id`` and ``offset``."""
-    cutup = cut(pieces(docs, id_col=id_col, text_col=text_col, width=width, end_id=end_id, ranks=ranks))
+    cutup = cut(_pieces(docs, id_col, text_col, width, end_id, ranks))
     # At most `width` rows reach the driver.
     histogram = {r[0]: r[1] for r in cutup.groupBy("length").count().collect()}
-    table = plan(histogram, width, gap)
-    order = [id_col, "start", "ids_crc32", "doc_tokens"]
+    table = plan(histogram, width)
+    order = ["_id", "start", "ids_crc32", "doc_tokens"]
     placed = ranked(cutup, "length", order, total=sum(histogram.values()))
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = [*_PIECE, "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -284,5 +333,5 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
             new = {"sequence_id": pa.array(row[:, 3] + copy), "offset": pa.array(row[:, 4] + slot * length)}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(at(c)) for c in names], names=names)
 
-    schema = f"`{id_col}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return placed.select(*names[:5], "rank").mapInArrow(run, schema)
+    out = placed.select(*_PIECE, "rank").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    return out.toDF(id_col, *names[1:])
