@@ -2,24 +2,28 @@
 
 A page is a sequence of text blocks, each with its root-to-leaf tag path. For
 every path the text length and the punctuation are summed and divided by the
-number of its blocks; the two ratios are smoothed along the page, fused, and
-compared with a threshold, which selects paths. Paths through elements that are
-never content, or whose class or id names a part that isn't, have no weight. Where
-the page marks content (article, main) and the ratios choose a path of it, all of
-it is taken, its short paths too.
+number of its blocks; the two ratios are fused, smoothed along the page, weighed
+by what the elements of the path say of themselves, and compared with a
+threshold, which selects paths. What elements say is one factor of the score: a
+navigation, a footer, or a class that names a part which isn't content lowers
+it, a marked article raises it; a label on what holds most of the page's text has
+no say. The selected paths give the content nodes: the elements that hold their
+blocks, or the marked element around them, whose short blocks are taken too.
 
 Defined results. A null or empty page has an empty text, and so has one without
 content. Unclosed and stray tags are repaired as browsers do for paragraphs and
-lists. A raw element (script, style) or a comment that is never closed ends with
-the page. Repeated rows are reported one by one; an empty table gives no rows.
-Extra columns are ignored.
+lists. A raw element (script, style), a comment or a tag that is never closed
+ends with the page. Repeated rows are reported one by one; an empty table gives
+no rows. Extra columns are ignored. Time grows with a page's length alone,
+however its tags are nested.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
+import math
 import re
-import statistics
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,11 +34,11 @@ from pyspark.sql import functions as F
 
 from lithos.llm._common import chunks, ship
 
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|select|xmp|noframes"
-TAG = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/](?:[^>]*)>""",
-    re.S | re.I,
-)
+#: Elements whose content is not markup.
+RAW = frozenset("script style noscript template textarea title iframe svg math object select xmp noframes".split())
+NAME = re.compile(r"/?[A-Za-z][A-Za-z0-9:-]*")
+#: Ends a tag, or opens a quoted value in it.
+VALUE = re.compile(r"""=\s*["']|>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 #: Elements without an end tag.
@@ -56,28 +60,93 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，！？、]")
 WORD = re.compile(r"[A-Za-z]+|[0-9]+")
 
 
+#: Factors of a path's score: inside marked content, and inside an element that
+#: says that it is none.
+MARKED, LABELLED = 2.0, 0.01
+#: Least score of a selected path, and the threshold as a share of the mean score,
+#: in which each block counts as much as it scores.
+LEAST, SHARE = 1.0, 0.25
+
+
+class Tag(NamedTuple):
+    """A tag from ``start`` to ``end``; without a name it is no element's."""
+
+    start: int
+    end: int
+    name: str
+    closes: bool
+    rest: str
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """Tags in order, raw elements and comments as one each. One pass: what is
+    not closed is searched for once."""
+    at, n = 0, len(page)
+    open_quotes: set[str] = set()
+    raw_ends: dict[str, re.Pattern] = {}
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 1)
+            end = n if end < 0 else end + 3
+            yield Tag(start, end, "", False, "")
+            at = end
+            continue
+        m = NAME.match(page, at)
+        if m is None:
+            if page[at : at + 1] in ("!", "?", "/"):
+                end = page.find(">", at)
+                end = n if end < 0 else end + 1
+                yield Tag(start, end, "", False, "")
+                at = end
+            continue
+        name, pos = m[0].lower(), m.end()
+        while (v := VALUE.search(page, pos)) and v[0] != ">":
+            quote, pos = v[0][-1], v.end()
+            if quote not in open_quotes:
+                close = page.find(quote, pos)
+                if close < 0:
+                    open_quotes.add(quote)
+                else:
+                    pos = close + 1
+        end = v.end() if v else n
+        rest = page[m.end() : end - 1] if v else ""
+        if name in RAW and v:
+            stop = raw_ends.setdefault(name, re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I)).search(page, end)
+            end, name = stop.end() if stop else n, ""
+        yield Tag(start, end, name.removeprefix("/") if v else "", name.startswith("/"), rest)
+        at = end
+
+
 class Block(NamedTuple):
     """Text of a block, its path, the characters in links, and what its
-    ancestors say."""
+    ancestors say: whether one is no content, and which hold it."""
 
     text: str
-    path: tuple[str, ...]
+    path: int
+    leaf: str
     linked: int
-    noise: bool
+    labelled: bool
     marked: bool
-    region: tuple[str, ...]  # path of the outermost element that marks content
+    holder: int
+    region: int
 
 
 class _Open(NamedTuple):
+    """An open element; all but the name is of its ancestors too."""
+
     name: str
-    noise: bool
-    named: bool
-    marked: bool
-    number: int
+    number: int  # 0 for the document and its body
+    path: int
+    no_content: bool
+    named: tuple | None  # the elements named like noise, innermost first, as a chain
+    holder: int  # number of the innermost element around it that isn't inline
+    region: int  # number of the outermost marked element
+    block: int  # index of the innermost element that isn't inline
 
 
 def _says(name: str, rest: str, inside: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is noise, is named like noise, and marks content."""
+    """Whether an element is no content, is named like noise, and marks content."""
     named = False
     noise = name in NEVER or (name == "header" and not inside)
     marked = name in ("article", "main")
@@ -87,7 +156,7 @@ def _says(name: str, rest: str, inside: bool) -> tuple[bool, bool, bool]:
             tokens = [WORD.findall(v) for v in value.split()]
             # The whole token or its first word: "has-sidebar" names a page with one.
             named = named or any(t and (t[0] in NOISE or "".join(t) in NOISE) for t in tokens) and not (name == "header" and inside) and name not in ("body", "html")
-            marked = marked or any("".join(WORD.findall(v)) in MARKS for v in value.split())
+            marked = marked or any("".join(t) in MARKS for t in tokens)
         elif key == "role":
             noise = noise or value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
             marked = marked or value == "main"
@@ -103,33 +172,57 @@ def _weight(b: Block) -> int:
     return max(0, len(b.text) - 2 * b.linked)
 
 
-def _named_noise(found: list[tuple[Block, tuple[int, ...]]]) -> list[Block]:
-    """Blocks inside elements named like noise as noise, except for elements that
-    hold most of the page's text, or its only marked content and at least as much
-    of it as there is text outside of such elements."""
+def _judged(found: list[tuple[Block, tuple | None]]) -> list[Block]:
+    """Blocks inside elements named like noise as labelled, except for elements
+    that hold most of the page's text, or its only marked content and at least as
+    much of it as there is text outside of such elements. ``held`` adds up along
+    the chains, from the innermost."""
     total = outside = 0
     marks = False
     held: dict[int, int] = defaultdict(int)
     content: dict[int, int] = defaultdict(int)
-    for b, numbers in found:
-        if b.noise:
+    chains: dict[int, tuple] = {}
+    for b, chain in found:
+        if b.labelled:
             continue
         w = _weight(b)
         total += w
-        if not numbers:
+        if chain is None:
             outside += w
             marks = marks or b.marked
-        for n in numbers:
-            held[n] += w
-            content[n] += w * b.marked
-    exempt = {n for n in held if not marks and (2 * held[n] > total or content[n] > 0 and content[n] >= outside)}
-    return [b._replace(noise=b.noise or not exempt.issuperset(numbers)) for b, numbers in found]
+        else:
+            chains[chain[0]] = chain
+            held[chain[0]] += w
+            content[chain[0]] += w * b.marked
+    # Inner elements have larger numbers.
+    todo = sorted(chains)
+    exempt: dict[int, bool] = {}
+    while todo:
+        n = todo.pop()
+        chain = chains[n]
+        exempt[n] = not marks and (2 * held[n] > total or content[n] > 0 and content[n] >= outside)
+        outer = chain[1]
+        if outer is not None:
+            if outer[0] not in chains:
+                chains[outer[0]] = outer
+                bisect.insort(todo, outer[0])
+            held[outer[0]] += held[n]
+            content[outer[0]] += content[n]
+    fine: dict[int, bool] = {}
+    for n in sorted(exempt):  # outer ones first
+        outer = chains[n][1]
+        fine[n] = exempt[n] and (outer is None or fine[outer[0]])
+    judged = [b._replace(labelled=b.labelled or (chain is not None and not fine.get(chain[0], False))) for b, chain in found]
+    # Labelled and other blocks of like elements are of different paths.
+    return [b._replace(path=2 * b.path + b.labelled) for b in judged]
 
 
 def blocks(page: str) -> list[Block]:
     """Non-empty blocks of a page in order."""
-    out: list[tuple[Block, tuple[int, ...]]] = []
-    stack: list[_Open] = []
+    out: list[tuple[Block, tuple | None]] = []
+    stack = [_Open("", 0, 0, False, None, 0, 0, 0)]
+    paths: dict[tuple[int, str, bool, bool], int] = {}
+    places: dict[str, list[int]] = defaultdict(list)  # indices in the stack by name
     parts: list[str] = []
     link_depth, linked, opened = 0, 0, 0
 
@@ -137,67 +230,71 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            path = tuple(o.name for o in stack if o.name not in INLINE)
-            first = next((k for k, o in enumerate(stack) if o.marked), -1)
-            region = tuple(o.name for o in stack[: first + 1] if o.name not in INLINE)
-            block = Block(text, path, linked, any(o.noise for o in stack), first >= 0, region)
-            out.append((block, tuple(o.number for o in stack if o.named)))
+            leaf = stack[stack[-1].block]
+            block = Block(text, leaf.path, leaf.name, linked, leaf.no_content, leaf.region > 0, leaf.holder, leaf.region)
+            top = stack[-1]  # an inline element may say something too
+            out.append((block._replace(labelled=top.no_content, marked=top.region > 0), top.named))
         parts.clear()
         linked = 0
 
     def pop(k: int) -> None:
         nonlocal link_depth
-        for o in stack[k:]:
+        for o in reversed(stack[k:]):
             link_depth -= o.name == "a"
+            places[o.name].pop()
         del stack[k:]
 
+    def last(*names: str) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     at = 0
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            linked += (m.start() - at) * (link_depth > 0)
-        at = m.end()
-        if m["name"] is None:
+    for t in tags(page):
+        if t.start > at:
+            parts.append(page[at : t.start])
+            linked += (t.start - at) * (link_depth > 0)
+        at = t.end
+        name = t.name
+        if not name:
             continue
-        name = m["name"].lower()
-        inline = name in INLINE
         if name in ("br", "img", "wbr"):
             parts.append(" " if name != "wbr" else "")
             continue
+        inline = name in INLINE
         if not inline:
             close()
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name == name:
-                    pop(k)
-                    break
-                if inline and stack[k].name not in INLINE:
-                    break
+        if t.closes:
+            k = last(name)
+            if k and not (inline and k < stack[-1].block):
+                pop(k)
             continue
         if name in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name == "p":
-                    pop(k)
-                    break
-                if stack[k].name not in INLINE:
-                    break
+            k = last("p")
+            if k and k >= stack[-1].block:
+                pop(k)
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             same = ("td", "th") if name in ("td", "th") else ("dt", "dd") if name in ("dt", "dd") else (name,)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name in same:
-                    pop(k)
-                    break
-                if stack[k].name in ("ul", "ol", "dl", "table", "tr" if name in ("td", "th") else "table"):
-                    break
-        if name not in VOID and not m["rest"].endswith("/"):
-            noise, named, marked = _says(name, m["rest"], any(o.marked for o in stack))
+            k = last(*same)
+            if k > last("ul", "ol", "dl", "table", *(("tr",) if name in ("td", "th") else ())):
+                pop(k)
+        if name not in VOID and not t.rest.endswith("/"):
+            outer = stack[-1]
+            noise, named, marked = _says(name, t.rest, outer.region > 0)
             opened += 1
-            stack.append(_Open(name, noise, named, marked, opened))
+            # Elements of one name are different steps if they say different things.
+            path = outer.path if inline else paths.setdefault((outer.path, name, noise or named, marked), len(paths) + 1)
+            index = len(stack)
+            stack.append(
+                _Open(
+                    name, 0 if name in ("html", "body") else opened, path, outer.no_content or noise, (opened, outer.named) if named else outer.named,
+                    outer.holder if inline else stack[outer.block].number, outer.region or (opened if marked else 0), outer.block if inline else index,
+                )
+            )
+            places[name].append(index)
             link_depth += name == "a"
     parts.append(page[at:])
     linked += (len(page) - at) * (link_depth > 0)
     close()
-    return _named_noise(out)
+    return _judged(out)
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -206,34 +303,57 @@ def _smooth(x: list[float]) -> list[float]:
     return [sum(w * v for w, v in zip(weights, padded[i : i + 3], strict=True)) for i in range(len(x))]
 
 
-def path_scores(all_blocks: list[Block]) -> tuple[dict[tuple[str, ...], float], float]:
-    """Fused and smoothed ratio of each path, and the threshold."""
+def path_scores(all_blocks: list[Block]) -> tuple[dict[int, float], float]:
+    """Score of each path, and the threshold."""
     length: dict = defaultdict(int)
     points: dict = defaultdict(int)
     count: dict = defaultdict(int)
     for b in all_blocks:
-        length[b.path] += 0 if b.noise else _weight(b)
-        points[b.path] += 0 if b.noise else len(PUNCTUATION.findall(b.text))
+        length[b.path] += _weight(b)
+        points[b.path] += len(PUNCTUATION.findall(b.text))
         count[b.path] += 1
-    fused = _smooth([length[b.path] / count[b.path] * (1 + points[b.path] / count[b.path]) for b in all_blocks])
+    ratios = [length[b.path] / count[b.path] * (1 + points[b.path] / count[b.path]) for b in all_blocks]
+    around = _smooth(ratios)
+    own = [math.sqrt(r * s) * (LABELLED if b.labelled else 1.0) * (MARKED if b.marked else 1.0) for b, r, s in zip(all_blocks, ratios, around, strict=True)]
     sums: dict = defaultdict(float)
-    for b, v in zip(all_blocks, fused, strict=True):
+    for b, v in zip(all_blocks, own, strict=True):
         sums[b.path] += v
-    return {p: s / count[p] for p, s in sums.items()}, 0.5 * statistics.pstdev(fused)
+    total = sum(own)
+    return {p: s / count[p] for p, s in sums.items()}, max(LEAST, SHARE * sum(v * v for v in own) / total if total else LEAST)
+
+
+def chosen_blocks(found: list[Block]) -> list[Block]:
+    """The blocks of the selected paths and of the content nodes they give."""
+    scores, threshold = path_scores(found)
+    chosen = {p for p, s in scores.items() if s >= threshold}
+    first = [k for k, b in enumerate(found) if b.path in chosen]
+    holders = {found[k].holder for k in first}
+    regions = {found[k].region for k in first if found[k].region}
+    # What holds labelled blocks too, like the document's body, isn't content as
+    # a whole: of it the headings and what stands between selected blocks.
+    whole = {0} | {b.holder for b in found if b.labelled}
+    spans: dict[int, list[int]] = defaultdict(list)
+    for k in first:
+        spans[found[k].holder].append(k)
+
+    def taken(k: int, b: Block) -> bool:
+        if b.path in chosen:
+            return True
+        if b.labelled:
+            return False
+        if b.region:
+            return b.region in regions
+        if b.holder not in holders:
+            return False
+        return b.holder not in whole or b.leaf in HEADINGS or spans[b.holder][0] < k < spans[b.holder][-1]
+
+    return [b for k, b in enumerate(found) if taken(k, b)]
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by line feeds."""
     found = blocks(page) if page else []
-    if not found:
-        return ""
-    scores, threshold = path_scores(found)
-    chosen = {p for p, s in scores.items() if s >= threshold}
-    # Marked content is taken whole where the ratios choose a part of it.
-    regions = {b.region for b in found if b.marked and not b.noise and b.path in chosen}
-    parents = {p[:-1] for p in chosen}
-    chosen |= {p for p in scores if p and p[-1] in HEADINGS and p[:-1] in parents}
-    return "\n".join(b.text for b in found if not b.noise and (b.path in chosen or b.marked and b.region in regions))
+    return "\n".join(b.text for b in chosen_blocks(found)) if found else ""
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -75,6 +75,112 @@ def test_html_ratios_choose_on_marked_pages():
     assert html_text.main_text(f"<body><article>{body}<ul><li>a</ul></article></body>").endswith("\na")
 
 
+class _Plain(__import__("html.parser").parser.HTMLParser):
+    """Blocks of a page whose tags are all closed, in the plainest way."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.found, self.text, self.linked, self.number = [], [], "", 0, 0
+        self.feed(page)
+        self.flush()
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text and not {"script", "style", "title"} & {x[0] for x in self.stack}:
+            around = [x for x in self.stack if x[0] not in html_text.INLINE]
+            path = tuple((n, c in ("ad", "sidebar", "comments")) for n, c, _ in around)
+            labelled = any(n in ("nav", "footer", "aside", "head") or c in ("ad", "sidebar", "comments") for n, c, _ in around)
+            holder = next((u for n, _, u in around[-2::-1] if n not in ("html", "body")), 0) if around[-2][0] not in ("html", "body") else 0
+            self.found.append((text, path, labelled, any(n == "article" for n, _, _ in around), self.linked, holder, around[-1][0]))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, name, attrs):
+        if name in ("br", "meta", "img"):
+            self.text += " "
+            return
+        if name not in html_text.INLINE:
+            self.flush()
+        if name == "p" and self.stack and self.stack[-1][0] in ("p", "b") and any(x[0] == "p" for x in self.stack):
+            while self.stack.pop()[0] != "p":
+                pass
+        self.number += 1
+        self.stack.append((name, dict(attrs).get("class", ""), self.number))
+
+    def handle_endtag(self, name):
+        if name not in html_text.INLINE:
+            self.flush()
+        if any(x[0] == name for x in self.stack):
+            while self.stack.pop()[0] != name:
+                pass
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += len(data) if any(x[0] == "a" for x in self.stack) else 0
+
+
+def brute_main_text(page):
+    found = _Plain(page).found
+    if not found:
+        return ""
+    raw = []
+    for _, path, *_ in found:
+        same = [b for b in found if b[1] == path]
+        length = sum(max(0, len(b[0]) - 2 * b[4]) for b in same) / len(same)
+        points = sum(sum(c in ".,;:!?…。，！？、" for c in b[0]) for b in same) / len(same)
+        raw.append(length * (1 + points))
+    at = lambda k: raw[min(max(k, 0), len(raw) - 1)]
+    own = [(raw[k] * (0.25 * at(k - 1) + 0.5 * at(k) + 0.25 * at(k + 1))) ** 0.5 * (0.01 if b[2] else 1) * (2 if b[3] else 1) for k, b in enumerate(found)]
+    threshold = max(1.0, 0.25 * sum(x * x for x in own) / (sum(own) or 1))
+    score = {b[1]: sum(x for x, o in zip(own, found, strict=True) if o[1] == b[1]) / sum(o[1] == b[1] for o in found) for b in found}
+    chosen = {p for p, v in score.items() if v >= threshold}
+    article = any(b[3] and b[1] in chosen for b in found)
+    first = [k for k, b in enumerate(found) if b[1] in chosen]
+    out = []
+    for k, b in enumerate(found):
+        mates = [j for j in first if found[j][5] == b[5]]
+        loose = b[5] == 0 or any(o[2] and o[5] == b[5] for o in found)
+        inside = mates and (not loose or b[6] in html_text.HEADINGS or mates[0] < k < mates[-1])
+        if k in first or (not b[2] and (article if b[3] else inside)):
+            out.append(b[0])
+    return "\n".join(out)
+
+
+def test_html_against_a_plain_reading(spark):
+    pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect()
+    words = "one two three, four. Five six".split()
+    for k in range(200):
+        rng = __import__("random").Random(k)
+        prose = lambda n: " ".join(rng.choices(words, k=n))  # noqa: B023, E731
+        parts = [f"<{t}>{prose(rng.randrange(1, 60))}</{t}>" for t in rng.choices(["p", "h2", "li", "blockquote"], k=rng.randrange(1, 8))]
+        boxes = [f"<div class='{rng.choice(['x', 'ad', 'sidebar', 'comments', 'y'])}'><p>{prose(rng.randrange(1, 30))}</p><a href='#'>{prose(3)}</a></div>" for _ in range(rng.randrange(4))]
+        page = f"<html><head><title>T</title></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{boxes[0] if boxes else ''}<article>{''.join(parts)}</article>{''.join(boxes[1:])}<footer>{prose(12)}</footer></body></html>"
+        assert html_text.main_text(page) == brute_main_text(page), page
+    for r in pages:
+        assert html_text.main_text(r.html) == brute_main_text(r.html)
+
+
+def test_html_ratios_decide(monkeypatch):
+    """Without labels or marks, and where they mislead; without ratios both fail."""
+    body = "".join(f"<p>Sentence {i} is here, with words, and it goes on for a while; more of it follows.</p>" for i in range(6))
+    small = "".join(f"<p>Share {i}</p>" for i in range(8))
+    plain = f"<body><div><div>{small}</div><section>{body}</section></div></body>"
+    card = f"<body><div id=x>{body}</div><div><article><p>Read it.</p></article></div></body>"
+    want = html_text.main_text(f"<body><article>{body}</article></body>")
+    assert html_text.main_text(plain) == want and html_text.main_text(card) == want
+    monkeypatch.setattr(html_text, "_weight", lambda b: 1000)
+    monkeypatch.setattr(html_text, "PUNCTUATION", re.compile("(?!)"))
+    assert html_text.main_text(plain) != want and html_text.main_text(card) != want
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>x" * 170_000, "<div>" * 80_000 + "</p>" * 80_000, "<b>" * 80_000 + "<hr>" * 80_000, "<li><ul>" + "<div>" * 60_000 + "<li></li>x" * 60_000, '<a class="' * 100_000, "<div class=ad>x" * 60_000, "<" * 1_000_000, "<!--" * 250_000, "<script>" * 120_000])
+def test_html_time_is_linear(page):
+    import time
+
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 30
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>unclosed <b>bold <p>next"), (4, "u", "<!-- never closed <p>x"), (5, "u", "<script>var a"), (6, "u", "plain text, no tags."), (7, "u", "<article>" + "<p>a, b.</p>" * 50_000)]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
