@@ -2,13 +2,17 @@
 
 The sketch of a text keeps the hash of every shingle of five words that lies
 below a fixed fraction of the hash range, so sketches of unions are unions of
-sketches and the containment of a short text in a long one can be estimated. The
-smallest hash is always kept, which is mergeable too: no text with words has an
-empty sketch. Only SQL functions are used.
-
-Defined results. A null text is empty. Fewer than five words are one shingle; a
-text without words has an empty sketch, which is like another empty one and
-unlike the rest. Repeated rows are reported one by one, in any order among
+sketches and the containment of a short text in a long one can be estimated: over
+those hashes alone. The smallest hash is always kept too, which is mergeable, so
+that no text with words has an empty fingerprint; above the fraction it says
+nothing about containment, because a longer text does not keep it. Only SQL
+functions are used.
+
+Defined results. A null text is empty. Fewer than five words are one shingle.
+Where a text has no hash below the fraction, containment is unknown and the
+likeness is 1 for equal fingerprints (two texts without words among them) and 0
+for others; at a fraction of an eighth a text of 35 shingles has none with a
+probability of 1 %. Repeated rows are reported one by one, in any order among
 themselves. Null ids come last. An empty table gives no rows. Extra columns are
 ignored.
 """
@@ -35,16 +39,22 @@ def with_sketch(df: DataFrame, text_col: str, name: str, scale: int = SCALE) ->
         F.transform(F.sequence(F.lit(0), F.size("_h") - SHINGLE), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(SHINGLE)])),
     ).when(F.size("_h") > 0, F.array(F.xxhash64("_h"))).otherwise(F.expr("cast(array() as array<bigint>)"))
     df = df.withColumn("_s", shingles)
-    limit = -(1 << 63) + (1 << 64) // scale
-    kept = F.filter("_s", lambda x: x < F.lit(limit))
+    kept = F.filter("_s", lambda x: x < F.lit(_limit(scale)))
     least = F.filter(F.array(F.array_min("_s")), lambda x: x.isNotNull())
     return df.withColumn(name, F.array_sort(F.array_union(kept, least))).drop("_h", "_s")
 
 
-def likeness(a: str, b: str) -> Column:
-    """Containment of the smaller sketch in the other, 0 to 1."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0))
+def _limit(scale: int) -> int:
+    """Hashes below it are kept."""
+    return -(1 << 63) + (1 << 64) // scale
+
+
+def likeness(a: str, b: str, scale: int = SCALE) -> Column:
+    """Containment of the smaller sketch in the other, 0 to 1, over the hashes
+    below the fraction."""
+    below = lambda s: F.filter(s, lambda x: x < F.lit(_limit(scale)))
+    least = F.least(F.size(below(a)), F.size(below(b)))
+    return F.when(F.col(a) == F.col(b), 1.0).when(least > 0, F.size(F.array_intersect(below(a), below(b))) / least).otherwise(0.0)
 
 
 def as_text(sketch: str) -> Column:
@@ -104,6 +114,6 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text("sketch").alias("fingerprint"),
         as_text("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"),
-        likeness("sketch", "next_sketch").alias("near_next"),
+        likeness("sketch", "edited_sketch", scale).alias("near_edited"),
+        likeness("sketch", "next_sketch", scale).alias("near_next"),
     )
