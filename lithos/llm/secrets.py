@@ -109,7 +109,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("d
     source = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).alias("_text"))
     kinds = dict(source.dtypes)
     out = source.mapInArrow(run, ", ".join([*(f"{n} {kinds[n]}" for n in names), _SCHEMA]))
-    return out.withColumnsRenamed(dict(zip(names, keep, strict=True))) if not set(keep) & set(out.columns) else out
+    return out.toDF(*keep, *out.columns[n_keep:])
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
