@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which driver and executors
-    share. Only where that is unset (tests, local mode) one of our own is set."""
+    share. Only in local mode (tests) may it be unset, and one of our own is set."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if folder is None:
         folder = getattr(sc, "_lithos_folder", None)
         if folder is None:
