@@ -2,13 +2,16 @@
 
 The normalised word windows of the benchmark are a hash set that every
 executor holds; document word windows are scanned against it, every hash hit is
-verified word by word, and hit spans or documents are removed. The set is
-broadcast only in blocks of a checked size: a larger benchmark is scanned in
-several passes, chained as map stages, so nothing is shuffled at any size.
+verified word by word, and hit spans or documents are removed. The set is sorted
+hashes and offsets into one buffer of words, about six bytes for each byte of
+benchmark, and is broadcast only in blocks of a checked size: a larger benchmark
+is scanned in several passes. Between passes the documents are written, so a
+worker holds one block at a time; nothing is shuffled at any size.
 
 Defined results. A null text has no words; a document without words has no
-hits. A benchmark row with a null text, or no words, has no windows. A null
-item id can hit but is not listed. Repeated rows are reported one by one. Extra
+hits. A benchmark row with a null text, or no words, has no windows. Item ids are
+listed as strings, whatever their type; a null one can hit but is not listed.
+Repeated rows are reported one by one. Extra
 columns are ignored.
 """
 
@@ -22,37 +25,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm._common import Words, chunks, joined, ship, texts_as_bytes, window_hashes
+from lithos.llm._common import Words, chunks, joined, ship, texts_as_bytes, window_hashes, written
 
 #: Words: digits, a-z after lower-casing A-Z, and everything outside ASCII.
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 
 #: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 
 class WindowSet:
-    """Windows of some benchmark items: hash to verified word strings to items."""
-
-    def __init__(self, items: list[tuple[int | None, bytes]], width: int):
-        self.by_length: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
-        hashes: dict[int, set] = defaultdict(set)
-        for item, text in items:
+    """Windows of some benchmark items, by their length in words: sorted hashes,
+    and for each the item and where its words lie in one buffer."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int):
+        self.ids = [item for item, _ in items]
+        parts: dict[int, list] = defaultdict(list)
+        buffers, at = [], 0
+        for k, (_, text) in enumerate(items):
             words = Words(text + b" ", IS_WORD)
             n = len(words.starts)
             if not n:
                 continue
             length = min(n, width)
-            for i, h in enumerate(window_hashes(words.hashes, length).tolist()):
-                hashes[length].add(h)
-                self.by_length[length][_words(words, i, length)].add(item)
-        self.by_length = {k: dict(v) for k, v in self.by_length.items()}
-        self.hashes = {k: np.array(sorted(v), dtype=np.uint64) for k, v in hashes.items()}
-        self.maps = {}
-        for k, v in self.hashes.items():
-            self.maps[k] = np.zeros(1 << 20, dtype=bool)
-            self.maps[k][v >> np.uint64(44)] = True
+            # The words alone, one blank after each.
+            sizes = words.ends - words.starts + 1
+            begins = np.concatenate([[0], np.cumsum(sizes)])
+            pick = np.repeat(words.starts - begins[:-1], sizes) + np.arange(begins[-1])
+            flat = np.append(words.data, np.uint8(32))[pick]
+            flat[begins[1:] - 1] = 32
+            buffers.append(flat)
+            m = n - length + 1
+            parts[length].append((window_hashes(words.hashes, length), np.full(m, k, np.int32), at + begins[:m], at + begins[length : length + m] - 1))
+            at += len(flat)
+        self.buffer = np.concatenate(buffers).tobytes() if buffers else b""
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        self.maps: dict[int, np.ndarray] = {}
+        for length, found in parts.items():
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            order = np.lexsort((columns[1], columns[0]))
+            self.tables[length] = tuple(c[order] for c in columns)
+            self.maps[length] = np.zeros(1 << 20, dtype=bool)
+            self.maps[length][columns[0] >> np.uint64(44)] = True
+
+    def items_with(self, length: int, first: int, last: int, window: bytes) -> set:
+        """Ids of the rows from ``first`` to ``last`` whose words are those."""
+        _, item, start, end = self.tables[length]
+        return {self.ids[item[r]] for r in range(first, last) if self.buffer[start[r] : end[r]] == window}
 
 
 def _words(words: Words, first: int, length: int) -> bytes:
@@ -72,16 +92,16 @@ def _scan(texts: list[bytes], windows: WindowSet, spans_before: list, items_befo
             i, j = np.searchsorted(words.starts, [a + begins[k], b + begins[k]])
             mark[i] += 1
             mark[j] -= 1
-    for length, table in windows.by_length.items():
+    for length, (known, *_) in windows.tables.items():
         if n < length:
             continue
         h = window_hashes(words.hashes, length)
         maybe = np.flatnonzero(windows.maps[length][h >> np.uint64(44)])
         maybe = maybe[doc[maybe] == doc[maybe + length - 1]]
-        known = windows.hashes[length]
-        at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
-        for i in maybe[known[at] == h[maybe]].tolist():
-            found = table.get(_words(words, i, length))
+        first, last = (np.searchsorted(known, h[maybe], side=s) for s in ("left", "right"))
+        for k in np.flatnonzero(first < last).tolist():
+            i = int(maybe[k])
+            found = windows.items_with(length, int(first[k]), int(last[k]), _words(words, i, length))
             if found:
                 mark[i] += 1
                 mark[i + length] -= 1
@@ -114,15 +134,17 @@ def _found(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text_co
         {
             "_n_words": F.lit(0).cast("long"),
             "_n_hit": F.lit(0).cast("long"),
-            "_items": F.expr("cast(array() as array<bigint>)"),
+            "_items": F.expr("cast(array() as array<string>)"),
             "_spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
         }
     )
-    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     for block in range(n_blocks):
-        # Each block is about block_bytes of benchmark text, checked above.
+        # Each block is about block_bytes of benchmark text, checked above. Written
+        # documents end the pass before, and with it the need of its block.
+        out = written(out) if block else out
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
         rows = [(r.item, r.text.encode()) for r in part.where("text is not null").collect()]
         windows = spark.sparkContext.broadcast(WindowSet(rows, width))
@@ -139,7 +161,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text_co
                 new = {
                     "_n_words": pa.array(n_words, pa.int64()),
                     "_n_hit": pa.array(n_hit, pa.int64()),
-                    "_items": pa.array([sorted(x for x in f if x is not None) for f in found], pa.list_(pa.int64())),
+                    "_items": pa.array([sorted(x for x in f if x is not None) for f in found], pa.list_(pa.string())),
                     "_spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
                 }
                 names = batch.schema.names
@@ -213,7 +235,7 @@ def report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **k
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string")))), 256).alias("items_sha256"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
 

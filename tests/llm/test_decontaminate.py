@@ -57,3 +57,26 @@ def test_removal(awkward, items, nothing, spark):
     assert D.report(nothing, frame).count() == 0
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.report(awkward, none).where("contaminated").count() == 0
+
+
+def test_string_item_ids_and_repeated_windows(spark):
+    text = " ".join(f"w{i}" for i in range(14))
+    bench = spark.createDataFrame([("b", text), ("a", "x " + text), ("a", text), (None, text), ("none", "other words")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"say {text} end"), (2, "nothing")], "doc_id bigint, text string")
+    for block in (10, 1 << 20):
+        got = {r.doc_id: r for r in D.contamination(docs, bench, block_bytes=block).collect()}
+        assert got[1].items == ["a", "b"] and got[1].n_hit == 14 and got[2].items == []
+
+
+def test_windows_take_little_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    items = [(str(i), " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)).encode()) for i in range(80)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    kept = D.WindowSet(items, 10)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept.tables[10][0].size == 80 * 1991 and used < 8 * size + (2 << 20)
