@@ -50,7 +50,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared checkpoint folder and read again.
-    A stage's files go once the next one is written."""
+    A stage's files go once the next one is written; the folder goes at the end,
+    because packing has its own copy of what it read before it returns."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
@@ -59,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if last:
             storage.delete(spark, f"{folder}/{last}")
         last = name
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    storage.delete(spark, folder)
+    return out

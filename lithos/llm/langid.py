@@ -32,6 +32,8 @@ UND = "und"
 DIMENSIONS = 1024
 _SCALE = 1 << 20
 _GRAMS = 2048
+#: Characters of a text that are taken at once.
+LONG = 1 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -55,15 +57,35 @@ def _letter_bits(code_points: np.ndarray, dims: int) -> np.ndarray:
 
 def document_vectors(texts: list[str | None], dims: int = DIMENSIONS) -> np.ndarray:
     """Unit vector of each text, a row for each; zero without letters."""
-    raw = "\n".join(t or "" for t in texts) + "\n"
+    out = np.zeros((len(texts), dims), dtype=np.float64)
+    short = [k for k, t in enumerate(texts) if len(t or "") <= LONG]
+    if short:
+        out[short] = _sums([texts[k] or "" for k in short], dims)
+    for k, t in enumerate(texts):
+        # A long text in pieces, with the neighbours of the letters at their ends.
+        for a in range(0, len(t or "") if len(t or "") > LONG else 0, LONG):
+            piece = t[max(a - 1, 0) : a + LONG + 1]
+            out[k] += _sums([piece], dims, a > 0, a + LONG < len(t))[0]
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norms, out=out, where=norms > 0).astype(np.float32)
+
+
+def _sums(texts: list[str], dims: int, skip_first: bool = False, skip_last: bool = False) -> np.ndarray:
+    """Sum of the n-gram vectors of each text. The n-grams in whose middle the
+    first or last character of all is may be left out."""
+    raw = "\n".join(texts) + "\n"
     points = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lengths = np.array([len(t or "") + 1 for t in texts], dtype=np.int64)
-    doc = np.repeat(np.arange(len(texts)), lengths)
+    doc = np.repeat(np.arange(len(texts)), np.array([len(t) + 1 for t in texts], dtype=np.int64))
     letters = _letters()[points]
+    counted = letters != 0
+    if skip_first:
+        counted[0] = False
+    if skip_last:
+        counted[-2] = False  # before the line feed
     keep = (letters != 0) | np.concatenate([[True], letters[:-1] != 0])
-    letters, doc = np.concatenate([[0], letters[keep]]), np.concatenate([[0], doc[keep]])
+    letters, doc, counted = (np.concatenate([np.zeros(1, x.dtype), x[keep]]) for x in (letters, doc, counted))
     out = np.zeros((len(texts), dims), dtype=np.float32)
-    middle = np.flatnonzero(letters[1:-1]) + 1
+    middle = np.flatnonzero(counted[1:-1]) + 1
     if not len(middle):
         return out
     # Numbered letters of this block, then numbered n-grams.
@@ -84,8 +106,7 @@ def document_vectors(texts: list[str | None], dims: int = DIMENSIONS) -> np.ndar
         weights = np.zeros((len(texts), len(some)), dtype=np.float32)
         weights[cell_doc[lo:hi], cell_gram[lo:hi] - a] = counts[lo:hi]
         out += weights @ vectors
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norms, out=out, where=norms > 0)
+    return out
 
 
 #: Letters of a text from which `known_only` asks for its whole cosine, and up to
