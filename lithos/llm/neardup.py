@@ -132,9 +132,9 @@ def _log2(x: float) -> int:
     return max(int(x).bit_length() - 1, 0)
 
 
-def _apart(x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int, list[dict]]:
-    """How set ``x`` differs from pivot ``y``: the whole symmetric difference if
-    little of ``x`` is outside ``y``, else nothing; the sampling level (0 for the
+def _apart(x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int, int, list[dict]]:
+    """How set ``x`` differs from pivot ``y``: the whole symmetric difference, what
+    is outside ``y`` first, if that is little, else nothing; its number; the sampling level (0 for the
     former); and the elements outside that each level keeps, one in 2 ** level.
 
     A partner lacks at most a quarter of x. So of ``o`` elements outside it holds
@@ -147,14 +147,14 @@ def _apart(x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> tuple[np.ndarray
     top = _log2(len(out) / SAMPLE)
     whole = np.concatenate([out, np.setdiff1d(y, x, assume_unique=True)]) if near else out[:0]
     if top < max(level, 1):
-        return whole, level, []
+        return whole, len(out), level, []
     kept = mix(out ^ _ODD) >> np.uint64(32)
-    return whole, level, [{"level": k, "e": e} for k in range(max(level, 1), top + 1) for e in _signed(out[kept < np.uint64(1 << (32 - k))]).tolist()]
+    return whole, len(out), level, [{"level": k, "e": e} for k in range(max(level, 1), top + 1) for e in _signed(out[kept < np.uint64(1 << (32 - k))]).tolist()]
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, star`` to ``a, b, star, na, nb, both``: exact sizes of the sets and
-    of their intersection; and for stars ``near, level, far``: see `_apart`."""
+    of their intersection; and for stars ``near, out, level, far``: see `_apart`."""
     spark = pairs.sparkSession
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot("id").alias("slot")).distinct()
@@ -175,16 +175,17 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 left, right = (shingle_sets(texts_as_bytes(batch, c)) for c in ("ta", "tb"))
                 stars = batch.column(batch.schema.get_field_index("star")).to_pylist()
                 inside = [np.isin(x, y, assume_unique=True) for x, y in zip(left, right, strict=True)]
-                found = [_apart(x, m, y) if s else (x[:0], 0, []) for x, m, y, s in zip(left, inside, right, stars, strict=True)]
+                found = [_apart(x, m, y) if s else (x[:0], 0, 0, []) for x, m, y, s in zip(left, inside, right, stars, strict=True)]
                 new = {
                     "na": pa.array([len(x) for x in left], pa.int64()),
                     "nb": pa.array([len(x) for x in right], pa.int64()),
                     "both": pa.array([int(x.sum()) for x in inside], pa.int64()),
                     "near": pa.array([_signed(f[0]) for f in found], pa.list_(pa.int64())),
-                    "level": pa.array([f[1] for f in found], pa.int32()),
-                    "far": pa.array([f[2] for f in found], pa.list_(pa.struct([("level", pa.int32()), ("e", pa.int64())]))),
+                    "out": pa.array([f[1] for f in found], pa.int32()),
+                    "level": pa.array([f[2] for f in found], pa.int32()),
+                    "far": pa.array([f[3] for f in found], pa.list_(pa.struct([("level", pa.int32()), ("e", pa.int64())]))),
                 }
-                names = ["a", "b", "star", "na", "nb", "both", "near", "level", "far"]
+                names = ["a", "b", "star", "na", "nb", "both", "near", "out", "level", "far"]
                 yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
 
     joined_ = (
@@ -192,7 +193,7 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "star", "ta", "tb")
     )
-    return joined_.mapInArrow(run, "a bigint, b bigint, star boolean, na bigint, nb bigint, both bigint, near array<bigint>, level int, far array<struct<level:int,e:bigint>>")
+    return joined_.mapInArrow(run, "a bigint, b bigint, star boolean, na bigint, nb bigint, both bigint, near array<bigint>, out int, level int, far array<struct<level:int,e:bigint>>")
 
 
 def _linked(a: str = "na", b: str = "nb", both: str = "both"):
@@ -249,26 +250,37 @@ def _dealt(index: DataFrame, probe: DataFrame, keys: list[str], member: str, siz
     return index.join(probe, [*keys, "_part"])
 
 
-def _near_links(star: DataFrame) -> DataFrame:
-    """Links of members of one star that differ little from its pivot, across
-    components (``c``), by the size of the symmetric difference."""
-    rows = star.where("size(near) > 0").select("a", "b", "na", F.col("ina").alias("c"), "near", F.size("near").alias("m"))
-    posts = rows.select("a", "b", "na", "c", "m", F.explode("near").alias("e"))
-    sizes = posts.groupBy("b", "e").agg(F.count(F.lit(1)).alias("size"), (F.min("c") != F.max("c")).alias("mixed")).where("size > 1")
-    posts = posts.join(sizes, ["b", "e"])
-    # `left`: shared elements from this one on, in the order of rarest first.
+def _shared(posts: DataFrame) -> DataFrame:
+    """Rows ``a, b, e, na, c, k`` of lists of ``b, e`` that hold different
+    components (``c``), with the list's ``size`` and ``left``: how many such
+    elements ``a`` has from this one on, rarest first. Two members of different
+    components share no others."""
+    sizes = posts.groupBy("b", "e").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("_l"), F.max("c").alias("_r")).where("size > 1 AND _l <> _r").select("b", "e", "size")
     order = Window.partitionBy("a", "b").orderBy(F.col("size").desc(), "e")
-    posts = written(posts.withColumn("left", F.row_number().over(order)).where("mixed").drop("mixed"))
-    light = posts.where("7 * left >= 7 * m - na").select("b", "e", "size", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("c").alias("cx"), F.col("m").alias("mx"), F.col("left").alias("lx"))
-    heavy = posts.where("3 * left >= 3 * m - na").select("b", "e", "size", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("c").alias("cy"), F.col("m").alias("my"), F.col("left").alias("ly"))
-    meet = _dealt(light, heavy, ["b", "e"], "x", "size").where(
-        "cx <> cy AND 7 * my - ny >= 7 * mx - nx AND 3 * greatest(nx, ny) <= 4 * least(nx, ny) AND 14 * least(lx, ly) >= 7 * my - ny + 7 * mx - nx"
-    )
-    pairs = meet.groupBy("x", "y").agg(F.min("b").alias("b"))
-    side = lambda x: rows.select("b", F.col("a").alias(x), F.col("na").alias(f"n{x}"), F.col("near").alias(f"d{x}"))
-    both = pairs.join(side("x"), ["b", "x"]).join(side("y"), ["b", "y"])
-    differ = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
-    return both.where(7 * differ <= F.col("nx") + F.col("ny")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return written(posts.join(sizes, ["b", "e"]).withColumn("left", F.row_number().over(order)))
+
+
+def _near_links(star: DataFrame) -> DataFrame:
+    """Links of members of one star that have little outside its pivot, across
+    components, by the size of the symmetric difference.
+
+    Where both have at most a quarter outside, they meet by what differs; else
+    by what is outside alone, of which they share all but a quarter of the set."""
+    rows = star.where("size(near) > 0").select("a", "b", "na", F.col("ina").alias("c"), "near", F.size("near").alias("m"), "out", (4 * F.col("out") <= F.col("na")).alias("inner"))
+    mixed = rows.groupBy("b").agg((F.min("c") != F.max("c")).alias("mixed"), F.max(~F.col("inner")).alias("outer")).where("mixed").select("b", "outer")
+    rows = rows.join(mixed, "b")
+    side = lambda x, t: t.select("b", "e", "size", *[F.col(c).alias(f"{c[-1]}{x}" if c != "a" else x) for c in ("a", "na", "c", "k", "left")])
+    fits = "cx <> cy AND 3 * greatest(ax, ay) <= 4 * least(ax, ay)"
+    differ = _shared(rows.where("inner").select("a", "b", "na", "c", F.col("m").alias("k"), F.explode("near").alias("e")))
+    light, heavy = differ.where("7 * left >= 7 * k - na"), differ.where("3 * left >= 3 * k - na")
+    meet = _dealt(side("x", light), side("y", heavy), ["b", "e"], "x", "size").where(f"{fits} AND 7 * ky - ay >= 7 * kx - ax AND 14 * least(tx, ty) >= 7 * ky - ay + 7 * kx - ax").select("b", "x", "y")
+    outside = _shared(rows.where("outer").select("a", "b", "na", "c", F.col("out").alias("k"), F.explode(F.expr("slice(near, 1, out)")).alias("e"))).where("4 * left >= 4 * k - na")
+    more = _dealt(side("x", outside), side("y", outside), ["b", "e"], "x", "size").where(f"x < y AND {fits} AND greatest(4 * kx - ax, 4 * ky - ay) > 0 AND 4 * least(tx, ty) >= greatest(4 * kx - ax, 4 * ky - ay)").select("b", "x", "y")
+    pairs = meet.union(more).select("b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).groupBy("x", "y").agg(F.min("b").alias("b"))
+    whole = lambda x: rows.select("b", F.col("a").alias(x), F.col("na").alias(f"n{x}"), F.col("near").alias(f"d{x}"))
+    both = pairs.join(whole("x"), ["b", "x"]).join(whole("y"), ["b", "y"])
+    apart = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
+    return both.where(7 * apart <= F.col("nx") + F.col("ny")).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _far_lists(star: DataFrame, hot: DataFrame) -> DataFrame:
