@@ -61,3 +61,7 @@ class FormatError(LithosError):
 
 class AccessViolation(LithosError):
     """A reducer touched a component that it did not declare."""
+
+
+class WrongKind(LithosError):
+    """A reducer was called in a way that its kind doesn't have."""

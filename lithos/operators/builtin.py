@@ -47,5 +47,5 @@ def register_builtin(registry: ReducerRegistry) -> list[str]:
     for name, (step, reads, writes) in STEPS.items():
         own = () if name == "boids_forces" else writes
         terms = (*reads, *own)
-        registry.register(name, "query_writer", _body(step, terms, writes), *[Term(c) for c in reads], *[Mut(c) for c in own], writes=writes)
+        registry.register(name, "query_mut", _body(step, terms, writes), *[Term(c) for c in reads], *[Mut(c) for c in own], writes=writes)
     return list(STEPS)

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.errors import AlreadyPlaced, DeadEntity
+from lithos.errors import AlreadyPlaced, DeadEntity, LithosError, UnregisteredComponent
 from lithos.world import World
 
 
@@ -53,38 +53,78 @@ class ChangeSet:
         return len(self.ops)
 
     def apply(self, world: World) -> None:
-        """In order. An op on a dead entity, or a spawn of a live one, is an
-        error; the ops before it stay applied."""
+        """In order, as one step: what every entity ends as is found on the
+        driver, where the ops are, and each archetype is edited once. An op on a
+        dead entity, or a spawn of a live one, is an error; the ops before it are
+        applied."""
+        if not self.ops:
+            return
+        found = world.locate({m.entity for m in self.ops})
+        states = {e: _State(found.get(e)) for e in {m.entity for m in self.ops}}
+        sparse: dict[str, dict[int, tuple[Any, ...]]] = {}
+        failure: Exception | None = None
         for m in self.ops:
-            alive = world.is_alive(m.entity)
-            if m.op == "spawn":
-                if alive:
-                    raise AlreadyPlaced(str(m.entity))
-                world.allocator.observe(m.entity)
-                world.spawn(m.entity, **dict(m.values))
-                continue
-            if not alive:
-                raise DeadEntity(str(m.entity))
-            if m.op == "despawn":
-                world.despawn([m.entity])
-            elif m.op == "insert":
-                world.insert(m.entity, **dict(m.values))
-            elif m.op == "remove":
-                world.remove(m.entity, m.values[0][0])
-            elif m.op == "sparse_insert":
-                name, value = m.values[0]
-                world.insert_sparse(name, {m.entity: value}, world.sparse_types[name])
-            else:
-                world.remove(m.entity, m.values[0][0])
+            try:
+                self._step(world, m, states[m.entity], sparse)
+            except LithosError as e:
+                failure = e
+                break
+        world.settle({e: s for e, s in states.items() if s.touched}, sparse)
+        if failure is not None:
+            raise failure
+
+    @staticmethod
+    def _step(world: World, m: Mutation, s: _State, sparse: dict[str, dict[int, tuple[Any, ...]]]) -> None:
+        values = dict(m.values)
+        if m.op == "spawn":
+            if s.alive:
+                raise AlreadyPlaced(str(m.entity))
+            world.admit(values)
+            world.allocator.observe(m.entity)
+            s.alive, s.born, s.components, s.values = True, True, frozenset(values), values
+        elif not s.alive:
+            raise DeadEntity(str(m.entity))
+        elif m.op == "despawn":
+            s.alive, s.components, s.values = False, frozenset(), {}
+            world.allocator.free(m.entity)
+            world.despawned += 1
+            for name in {*world.sparse, *sparse}:
+                sparse.setdefault(name, {})[m.entity] = ()
+        elif m.op == "insert":
+            world.known(values)
+            s.components, s.values = s.components | set(values), {**s.values, **values}
+        elif m.op == "sparse_insert":
+            ((name, value),) = m.values
+            if name not in world.sparse_types:
+                raise UnregisteredComponent(name)
+            sparse.setdefault(name, {})[m.entity] = (value,)
+            return
+        else:
+            name = m.values[0][0]
+            if name in world.sparse or name in sparse:
+                sparse.setdefault(name, {})[m.entity] = ()
+                return
+            s.components = s.components - {name}
+            s.values = {k: v for k, v in s.values.items() if k != name}
+        s.touched = True
+
+
+class _State:
+    """What an entity is after some ops. ``origin`` is the archetype that has its
+    row; a row of its own is made if it was born since."""
+
+    def __init__(self, origin: tuple[str, frozenset[str]] | None):
+        self.origin, self.alive, self.born, self.touched = origin, origin is not None, False, False
+        self.components: frozenset[str] = origin[1] if origin else frozenset()
+        self.values: dict[str, Any] = {}
 
 
 class CommandBuffer(ChangeSet):
     """Deferred ops, applied and emptied together."""
 
     def flush(self, world: World) -> None:
-        ops, self.ops = self.ops, []
         done = ChangeSet()
-        done.ops = ops
+        done.ops, self.ops = self.ops, []
         done.apply(world)
 
 
@@ -108,14 +148,3 @@ def fold(log: DataFrame) -> DataFrame:
     live = log.where("op <> 'despawn' AND component IS NOT NULL").join(ends, "entity_id").where((F.col("_gone").isNull() | (at > F.col("_gone"))) & (F.col("_born").isNull() | (at >= F.col("_born")) | (F.col("_gone").isNull())))
     last = live.groupBy("entity_id", "component").agg(F.max_by(F.struct("op", "payload"), at).alias("_l"))
     return last.where("_l.op NOT IN ('remove', 'sparse_remove')").select("entity_id", "component", F.col("_l.payload").alias("payload"))
-
-
-def get_batch(requests: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
-    """``pos, k`` to ``pos, value``, order and duplicates kept."""
-    return requests.join(table.select(F.col(key).alias("_key"), value), F.col("k") == F.col("_key"), "left").select("pos", value)
-
-
-def first_requests(requests: DataFrame) -> DataFrame:
-    """The first position of each key: what mutable access returns."""
-    w = Window.partitionBy("k").orderBy("pos")
-    return requests.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -9,13 +9,15 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.errors import AccessViolation, UnregisteredComponent
+from lithos.errors import AccessViolation, UnregisteredComponent, WrongKind
 from lithos.operators.transactions import Access, Tx
 from lithos.world import ID, Term, World, terms_of
 
 #: What a reducer is given: one entity to read or write, a spawner, a query to
 #: read or to write through a buffer or in place, or everything by name.
-KINDS = ("entity_ref", "entity_mut", "spawner", "query_ref", "query_writer", "query_mut", "dynamic")
+TRANSACTIONAL = ("entity_ref", "entity_mut", "spawner", "query_writer")
+SCHEDULED = ("query_ref", "query_mut")
+KINDS = (*TRANSACTIONAL, *SCHEDULED, "dynamic")
 
 
 @dataclass
@@ -29,11 +31,12 @@ class Reducer:
 
 
 class QueryWriter:
-    """Reads the state before, buffers whole-column writes."""
+    """Reads the state before, buffers whole-column writes: in a transaction
+    into it, else until `commit`."""
 
-    def __init__(self, world: World, reducer: Reducer):
-        self.world, self.reducer = world, reducer
-        self.frame = world.scan(reducer.terms, reducer.last_read)
+    def __init__(self, world: World, reducer: Reducer, tx: Tx | None = None):
+        self.world, self.reducer, self.tx = world, reducer, tx
+        self.frame = tx.scan(reducer.terms, reducer.last_read) if tx else world.scan(reducer.terms, reducer.last_read)
         self.iterated = False
         self._writes: list[DataFrame] = []
 
@@ -46,7 +49,10 @@ class QueryWriter:
         extra = {c for c in values.columns if c != ID} - self.reducer.access.writes
         if extra:
             raise AccessViolation(f"{self.reducer.name} did not declare {', '.join(sorted(extra))}")
-        self._writes.append(values)
+        if self.tx:
+            self.tx.write_frame(values)
+        else:
+            self._writes.append(values)
 
     def modify(self, **columns) -> None:
         """Each component from an expression over the state before."""
@@ -86,19 +92,29 @@ class ReducerRegistry:
         return self._by_name[name].access
 
     def call(self, strategy, world: World, name: str, **args: Any) -> Any:
-        """In a transaction. The read tick moves only after success."""
-        r = self._by_name[name]
-        self._known(world, r)
-        if r.kind in ("query_writer", "query_ref", "query_mut"):
-            return self.run(world, name, **args)
-        out = strategy.transact(world, lambda tx: r.body(self._handle(tx, r), **args), r.access)
-        r.last_read = world.tick
+        """In a transaction of the strategy. The read tick moves only after
+        success, and for a query writer only if it looked at its rows."""
+        r = self._of_kind(world, name, TRANSACTIONAL, "call")
+        looked = []
+
+        def body(tx: Tx) -> Any:
+            looked.clear()
+            if r.kind != "query_writer":
+                looked.append(True)
+                return r.body(DynamicCtx(tx, r.access), **args)
+            w = QueryWriter(world, r, tx)
+            out = r.body(w, **args)
+            looked.extend([True] * w.iterated)
+            return out
+
+        out = strategy.transact(world, body, r.access)
+        if looked:
+            r.last_read = world.tick
         return out
 
     def run(self, world: World, name: str, **args: Any) -> Any:
         """As a scheduler does: on whole columns, without a transaction."""
-        r = self._by_name[name]
-        self._known(world, r)
+        r = self._of_kind(world, name, SCHEDULED, "run")
         if r.kind == "query_ref":
             out = r.body(world.scan(r.terms, r.last_read), **args)
             r.last_read = world.tick
@@ -112,16 +128,23 @@ class ReducerRegistry:
 
     def dynamic_call(self, strategy, world: World, name: str, **args: Any) -> Any:
         """Access is checked by name when it happens."""
-        return self.call(strategy, world, name, **args)
+        r = self._of_kind(world, name, ("dynamic",), "dynamic_call")
+        out = strategy.transact(world, lambda tx: r.body(DynamicCtx(tx, r.access), **args), r.access)
+        r.last_read = world.tick
+        return out
+
+    def _of_kind(self, world: World, name: str, kinds: tuple[str, ...], how: str) -> Reducer:
+        r = self._by_name[name]
+        if r.kind not in kinds:
+            raise WrongKind(f"{name} is {r.kind}; {how} takes {', '.join(kinds)}")
+        self._known(world, r)
+        return r
 
     def _known(self, world: World, r: Reducer) -> None:
         missing = [t.component for t in r.terms if t.component not in world.types]
         if missing:
             raise UnregisteredComponent(", ".join(missing))
 
-    def _handle(self, tx: Tx, r: Reducer) -> DynamicCtx:
-        return DynamicCtx(tx, r.access)
-
 
 class DynamicCtx:
     """A transaction that refuses undeclared components."""

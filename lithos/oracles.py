@@ -156,7 +156,8 @@ p AS (SELECT a.id, c.m, c.x - a.x AS dx0, c.y - a.y AS dy0 FROM b a JOIN b c ON
 d AS (SELECT id, m, dx0 - 500 * round(dx0 / 500) AS dx, dy0 - 500 * round(dy0 / 500) AS dy FROM p),
 f AS (SELECT id, sum(m * dx / power(dx * dx + dy * dy + 1, 1.5)) * 0.1::DOUBLE AS vx, sum(m * dy / power(dx * dx + dy * dy + 1, 1.5)) * 0.1::DOUBLE AS vy FROM d GROUP BY id),
 s AS (SELECT b.id, b.x + f.vx * 0.1::DOUBLE AS x, b.y + f.vy * 0.1::DOUBLE AS y, f.vx, f.vy FROM b JOIN f USING (id))
-SELECT id AS entity_id, round(x - floor(x / 500) * 500, 6) AS pos_x, round(y - floor(y / 500) * 500, 6) AS pos_y, round(vx, 6) AS vel_x, round(vy, 6) AS vel_y FROM s
+SELECT id AS entity_id, round(x - floor(x / 500) * 500, 6) AS pos_x, round(y - floor(y / 500) * 500, 6) AS pos_y,
+  CASE WHEN round(vx, 6) = 0 THEN 0.0::DOUBLE ELSE round(vx, 6) END AS vel_x, CASE WHEN round(vy, 6) = 0 THEN 0.0::DOUBLE ELSE round(vy, 6) END AS vel_y FROM s
 """,
     "boids_step": """
 WITH b AS (
@@ -176,5 +177,82 @@ v AS (SELECT id, x, y, vx + fx * k AS vx, vy + fy * k AS vy FROM a),
 w AS (SELECT *, CASE WHEN sqrt(vx * vx + vy * vy) > 4 THEN 4::DOUBLE / sqrt(vx * vx + vy * vy) ELSE 1.0::DOUBLE END AS k FROM v),
 s AS (SELECT id, vx * k AS vx, vy * k AS vy, x + vx * k AS x, y + vy * k AS y FROM w)
 SELECT id AS entity_id, round(x - floor(x / 500) * 500, 6) AS pos_x, round(y - floor(y / 500) * 500, 6) AS pos_y, round(vx, 6) AS vel_x, round(vy, 6) AS vel_y FROM s
+""",
+    "scan_counted": """
+SELECT p_partkey AS entity_id FROM part WHERE p_size = 7
+""",
+    "query_table_exact": """
+SELECT s_suppkey AS entity_id, s_acctbal AS acctbal FROM supplier
+""",
+    "query_flat_structs": """
+SELECT s_suppkey AS entity_id, s_nationkey AS nation, s_acctbal AS balance FROM supplier
+""",
+    "query_changed_since": """
+SELECT 'supplier' AS archetype, s_suppkey AS entity_id FROM supplier
+""",
+    "iter_sparse": """
+SELECT doc_id AS entity_id, quality AS value FROM labels
+""",
+    "get_batch_unique": """
+SELECT r.pos AS pos, CASE WHEN r.pos <> 1 THEN p.p_size END AS p_size FROM (SELECT 0 AS pos, 5 AS k UNION ALL SELECT 1, 5 UNION ALL SELECT 2, 1) r
+LEFT JOIN part p ON p.p_partkey = r.k
+""",
+    "index_btree_range": """
+SELECT p_partkey AS entity_id FROM part WHERE p_size >= 3 AND p_size < 9
+""",
+    "index_hash_eq": """
+SELECT p_partkey AS entity_id, p_size FROM part WHERE p_brand = 'Brand#12'
+""",
+    "index_updated": """
+SELECT p_partkey AS entity_id FROM part WHERE p_size < 5
+""",
+    "index_stale_revalidated": """
+SELECT p_partkey AS entity_id FROM part WHERE p_size < 5
+""",
+    "spatial_index_candidates": """
+SELECT s_suppkey AS entity_id FROM supplier WHERE s_acctbal BETWEEN 1000 AND 2000
+""",
+    "subscription_built": """
+SELECT o_orderkey AS entity_id FROM orders WHERE o_orderstatus = 'P'
+""",
+    "view_of_last_delta": """
+SELECT s_suppkey AS entity_id FROM supplier
+""",
+    "aggregate_result": """
+SELECT 'COUNT(*)' AS label, CAST(count(*) AS DOUBLE) AS value FROM part UNION ALL SELECT 'MAX(p_size)', CAST(max(p_size) AS DOUBLE) FROM part
+""",
+    "execute_collect": """
+SELECT CAST(n_nationkey AS BIGINT) AS entity_id FROM nation WHERE n_regionkey = 1
+""",
+    "execute_stream": """
+SELECT CAST(n_nationkey AS BIGINT) AS entity_id FROM nation
+""",
+    "plan_chunks": """
+SELECT p_partkey AS entity_id, CAST(p_size * 2 AS BIGINT) AS twice FROM part
+""",
+    "changeset_applied": """
+SELECT CAST(n_nationkey AS BIGINT) AS entity_id, n_name, CASE n_nationkey WHEN 1 THEN 100 WHEN 2 THEN 102 WHEN 4 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey <> 3
+UNION ALL SELECT 1000, 'NOWHERE', 103
+""",
+    "batch_mutations": """
+SELECT p_partkey AS entity_id, CASE WHEN p_size < 10 THEN p_size + 1000 ELSE p_size END AS p_size FROM part WHERE p_size <= 25
+""",
+    "reducer_call_optimistic": """
+SELECT s_suppkey AS entity_id, round(s_acctbal + 100, 2) AS balance FROM supplier
+""",
+    "reducer_durable_recovered": """
+SELECT s_suppkey AS entity_id, round(s_acctbal + 100, 2) AS balance FROM supplier
+""",
+    "retention_run": """
+SELECT p_partkey AS entity_id, p_size - 2 AS remaining FROM part WHERE p_size > 2
+""",
+    "snapshot_round_trip": """
+SELECT d.doc_id AS entity_id, d.n_chars AS n_chars, l.quality AS quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+""",
+    "lsm_store_scanned": """
+SELECT user_id AS entity_id, event_id AS row_id FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id % 4 DESC, event_id DESC) AS rn FROM events) t WHERE rn = 1
+""",
+    "metrics_change": """
+SELECT -count(*) AS entities, CAST(0 AS BIGINT) AS archetypes FROM supplier WHERE s_nationkey = 1
 """,
 }

@@ -183,7 +183,7 @@ class ScanBuilder:
                 warnings.append(PlanWarning("JoinEliminated", "inner join on " + ", ".join(t.component for t in j.terms)))
         required = [t.component for t in terms if t.required]
         rows = self.estimate if self.estimate is not None else planner.rows_with(required)
-        node, rest = self._driver(rows, required, warnings)
+        node, rest, gather = self._driver(rows, required, warnings)
         for p in rest:
             c = node.cost
             node = Node(f"Filter {p.text}", Cost(c.rows * p.selectivity, c.cpu + c.rows * FILTER * (BRANCH if p.kind == "custom" else FLAT)), [node])
@@ -196,11 +196,11 @@ class ScanBuilder:
             warnings.append(PlanWarning("DuplicateAggregateLabel", label))
         if self.aggregates:
             node = Node("Aggregate " + ", ".join(labels), Cost(1, node.cost.cpu + AGGREGATE * node.cost.rows * len(labels)), [node])
-        return QueryPlan(planner.world, tuple(terms), self, node, warnings)
+        return QueryPlan(planner.world, tuple(terms), self, node, warnings, gather)
 
-    def _driver(self, rows: float, required: list[str], warnings: list[PlanWarning]) -> tuple[Node, list[Predicate]]:
-        """The cheapest way in, and the predicates left after it (most selective
-        first). It decides what explain shows; the scan stays exact."""
+    def _driver(self, rows: float, required: list[str], warnings: list[PlanWarning]) -> tuple[Node, list[Predicate], tuple[Any, Predicate] | None]:
+        """The cheapest way in, the predicates left after it (most selective
+        first), and the index that serves the other one."""
         planner, choices = self.planner, []
         for p in self.predicates:
             kinds = planner.indexes.get(p.component, {})
@@ -220,8 +220,9 @@ class ScanBuilder:
         order = sorted(self.predicates, key=lambda p: p.selectivity)
         if choices:
             _, _, node, used = min(choices, key=lambda c: c[:2])
-            return node, [p for p in order if p is not used]
-        return Node("Scan " + ", ".join(required or ["*"]), Cost(rows, rows * SCAN * SCAN_FACTOR)), order
+            index = planner.spatial[used.component] if used.spatial else planner.indexes[used.component][node.text.split()[1]]
+            return node, [p for p in order if p is not used], (index, used)
+        return Node("Scan " + ", ".join(required or ["*"]), Cost(rows, rows * SCAN * SCAN_FACTOR)), order, None
 
     def _left(self, node: Node, j: _Join) -> Node:
         left = node.cost
@@ -247,8 +248,8 @@ class QueryPlan:
     """A built plan. Executing it collects ids; ``entities`` and ``rows`` stay
     lazy frames."""
 
-    def __init__(self, world: World, terms: tuple[Term, ...], builder: ScanBuilder, root: Node, warnings: list[PlanWarning]):
-        self.world, self.terms, self.root, self.warnings = world, terms, root, warnings
+    def __init__(self, world: World, terms: tuple[Term, ...], builder: ScanBuilder, root: Node, warnings: list[PlanWarning], gather: tuple[Any, Predicate] | None = None):
+        self.world, self.terms, self.root, self.warnings, self.gather = world, terms, root, warnings, gather
         self.world_id = world.id
         self._builder = builder
         self.last_read = 0
@@ -270,6 +271,14 @@ class QueryPlan:
         b, world = self._builder, self.world
         extra = list(dict.fromkeys([*columns, *(p.component for p in b.predicates), *(c for p in b.predicates for c in p.needs), *(j.reference for j in b.joins if j.reference and j.kind == "inner"), *(a.component for a in b.aggregates if a.component)]))
         df = world.scan(self.terms, self.last_read, extra=extra)
+        if self.gather is not None:
+            # Candidates of the index, checked again below. A value index that
+            # isn't in step with the world might lack some, so it is left out.
+            index, used = self.gather
+            if used.spatial:
+                df = df.join(index.candidates(used).select(ID), ID, "left_semi")
+            elif not index.stale():
+                df = df.join(index.gather(used), ID, "left_semi")
         for p in b.predicates:
             if p.kind == "semi":
                 df = df.where(F.col(p.component).isNotNull())

@@ -5,19 +5,22 @@ engine's own API and stays one lazy frame."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithos import observe
 from lithos.functions.torus import wrap
+from lithos.lineage import shared_folder
 from lithos.operators import changes, changeset, kernels, reducers
-from lithos.operators.transactions import Access, colour
+from lithos.operators.transactions import Access, Durable, Optimistic, colour
 from lithos.plans.aggregates import AggregateExpr as Agg
 from lithos.plans.planner import QueryPlanner
 from lithos.plans.predicates import Predicate as P
-from lithos.sources import lsm, snapshot
-from lithos.world import ID, Opt, World
+from lithos.sources import checkpoint, lsm, snapshot, wal
+from lithos.world import ID, Changed, Mut, Opt, World
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -342,6 +345,247 @@ def torus_radius(spark, sf_dir):
     return grid.query_radius(5, 5, 100)
 
 
+# ------------------------------------------- the engine's own moving parts
+
+
+@query
+def scan_counted(spark, sf_dir):
+    """A scan whose estimate is counted."""
+    return planner(spark, sf_dir, "part").scan("p_size").filter(P.eq("p_size", 7)).build().entities()
+
+
+@query
+def query_table_exact(spark, sf_dir):
+    """Rows with exactly these components: customers have one more."""
+    return _accounts(spark, sf_dir).query_table("acctbal").select(ID, "acctbal")
+
+
+@query
+def query_flat_structs(spark, sf_dir):
+    w = World(spark)
+    place = F.struct(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    w.add_table("supplier", read(spark, sf_dir, "supplier"), "s_suppkey", {"Place": place})
+    return w.query_flat("Place")
+
+
+@query
+def query_changed_since(spark, sf_dir):
+    """Of two archetypes with balances only the one written later."""
+    w = _accounts(spark, sf_dir)
+    seen = max(a.ticks["acctbal"] for a in w.archetypes.values())
+    w.touch(next(a for a in w.archetypes.values() if a.name == "supplier"), ["acctbal"])
+    return w.query_changed_since("acctbal", seen).select("archetype", ID)
+
+
+@query
+def iter_sparse(spark, sf_dir):
+    return _documents_with_labels(spark, sf_dir).iter_sparse("quality")
+
+
+@query
+def get_batch_unique(spark, sf_dir):
+    asks = spark.sql(f"SELECT pos, {ID} FROM VALUES (0, 5L), (1, 5L), (2, 1L) AS t(pos, {ID})")
+    return world(spark, sf_dir, "part").get_batch(asks, "p_size", unique=True).withColumnRenamed("value", "p_size")
+
+
+@query
+def index_btree_range(spark, sf_dir):
+    p = planner(spark, sf_dir, "part")
+    p.add_btree_index("p_size")
+    return estimated(p, "p_size").filter(P.range("p_size", 3, 9)).build().entities()
+
+
+@query
+def index_hash_eq(spark, sf_dir):
+    p = planner(spark, sf_dir, "part")
+    p.add_hash_index("p_brand")
+    return estimated(p, "p_brand").filter(P.eq("p_brand", "Brand#12")).build().rows("p_size").select(ID, "p_size")
+
+
+@query
+def index_updated(spark, sf_dir):
+    """Sizes are written after the index was built; it is brought up to date."""
+    p = planner(spark, sf_dir, "part")
+    index = p.indexes[p.add_btree_index("p_size").component]["btree"]
+    p.world.insert_batch(p.world.scan(["p_size"]).where("p_size < 5").select(ID, (F.col("p_size") + 100).alias("p_size")))
+    index.update()
+    return index.range(100)
+
+
+@query
+def index_stale_revalidated(spark, sf_dir):
+    """The same, asked for through a plan with the index as it was."""
+    p = planner(spark, sf_dir, "part")
+    p.add_btree_index("p_size")
+    p.world.insert_batch(p.world.scan(["p_size"]).where("p_size < 5").select(ID, (F.col("p_size") + 100).alias("p_size")))
+    return estimated(p, "p_size").filter(P.range("p_size", 100)).build().entities()
+
+
+class _Cells:
+    """A user's spatial index: suppliers by the hundred of their balance."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.withColumn("cell", F.floor(F.col("s_acctbal") / 100))
+
+    def supports(self, predicate) -> float | None:
+        return 10.0 if predicate.kind == "intersects" else None
+
+    def candidates(self, predicate) -> DataFrame:
+        return self.rows.where("cell BETWEEN 9 AND 20").select(F.col("s_suppkey").alias(ID))
+
+
+@query
+def spatial_index_candidates(spark, sf_dir):
+    p = planner(spark, sf_dir, "supplier")
+    p.add_spatial_index("s_acctbal", _Cells(read(spark, sf_dir, "supplier")))
+    return estimated(p, "s_acctbal").filter(P.intersects("s_acctbal", (1000.0,), (2000.0,))).build().entities()
+
+
+@query
+def subscription_built(spark, sf_dir):
+    """Orders that changed, of one status, through the subscription builder."""
+    p = planner(spark, sf_dir, "orders")
+    plan = p.subscribe(Changed("o_orderstatus")).where_eq(p.add_hash_index("o_orderstatus"), "P").build()
+    return plan.entities()
+
+
+@query
+def view_of_last_delta(spark, sf_dir):
+    """A view over changes: after a write to suppliers alone, only those."""
+    w = _accounts(spark, sf_dir)
+    view = changes.MaterializedView(QueryPlanner(w).scan_with_estimate(10, Changed("acctbal")).build())
+    view.refresh(w)
+    w.touch(next(a for a in w.archetypes.values() if a.name == "supplier"), ["acctbal"])
+    view.refresh(w)
+    return view.entities()
+
+
+@query
+def aggregate_result(spark, sf_dir):
+    """Labels and values as the caller gets them."""
+    scan = estimated(planner(spark, sf_dir, "part"), "p_size").aggregate(Agg.count()).aggregate(Agg.max("p_size"))
+    out = scan.build().aggregate()
+    return spark.createDataFrame([(k, float(v)) for k, v in out], "label string, value double")
+
+
+@query
+def execute_collect(spark, sf_dir):
+    plan = planner(spark, sf_dir, "nation").scan("n_regionkey").filter(P.eq("n_regionkey", 1)).build()
+    return spark.createDataFrame([(i,) for i in plan.execute_collect()], f"{ID} bigint")
+
+
+@query
+def execute_stream(spark, sf_dir):
+    seen: list[tuple[int]] = []
+    planner(spark, sf_dir, "nation").scan("n_regionkey").build().execute_stream(lambda i: seen.append((i,)))
+    return spark.createDataFrame(seen, f"{ID} bigint")
+
+
+@query
+def plan_chunks(spark, sf_dir):
+    """Arrow batches of fetched columns through a function."""
+
+    def double(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.multiply(b.column(2), 2).cast(pa.int64())], names=["entity_id", "twice"])
+
+    return estimated(planner(spark, sf_dir, "part"), "p_size").build().chunks(double, "entity_id bigint, twice bigint", "p_size")
+
+
+@query
+def changeset_applied(spark, sf_dir):
+    """Ops on nations, as one change set: two change, one goes, one comes."""
+    w = world(spark, sf_dir, "nation")
+    c = changeset.ChangeSet()
+    c.insert(1, n_regionkey=100)
+    c.insert(2, n_regionkey=101)
+    c.insert(2, n_regionkey=102)
+    c.despawn(3)
+    c.spawn(1000, n_name="NOWHERE", n_regionkey=103)
+    c.remove(4, "n_regionkey")
+    c.apply(w)
+    return w.scan(["n_name", Opt("n_regionkey")]).select(ID, "n_name", "n_regionkey")
+
+
+@query
+def batch_mutations(spark, sf_dir):
+    """Spawn a batch, despawn by a frame, write a column."""
+    w = world(spark, sf_dir, "part")
+    w.despawn(w.scan(["p_size"]).where("p_size > 25").select(ID))
+    w.write_column("p_size", w.scan(["p_size"]).where("p_size < 10").select(ID, (F.col("p_size") + 1000).alias("value")))
+    return w.scan(["p_size"]).select(ID, "p_size")
+
+
+def _raise(writer, by):
+    writer.modify(s_acctbal=F.col("s_acctbal") + by)
+
+
+def _raises() -> reducers.ReducerRegistry:
+    r = reducers.ReducerRegistry()
+    r.register("raise", "query_writer", _raise, Mut("s_acctbal"))
+    return r
+
+
+@query
+def reducer_call_optimistic(spark, sf_dir):
+    w = world(spark, sf_dir, "supplier")
+    _raises().call(Optimistic(), w, "raise", by=100)
+    return w.scan(["s_acctbal"]).select(ID, F.round("s_acctbal", 2).alias("balance"))
+
+
+@query
+def reducer_durable_recovered(spark, sf_dir):
+    """The same through a log; the state is what recovery makes of it."""
+    folder = f"{shared_folder(spark)}/durable-{uuid.uuid4().hex}"
+    w, log = world(spark, sf_dir, "supplier"), wal.Wal(spark, f"{folder}/log")
+    snapshot.save(w, f"{folder}/snapshot")
+    _raises().call(Durable(Optimistic(), log), w, "raise", by=100)
+    got = checkpoint.recover(spark, f"{folder}/snapshot", wal.Wal(spark, f"{folder}/log"), World(spark))
+    return got.scan(["s_acctbal"]).select(ID, F.round("s_acctbal", 2).alias("balance"))
+
+
+@query
+def retention_run(spark, sf_dir):
+    """Two runs over the world."""
+    w = World(spark)
+    w.add_table("part", read(spark, sf_dir, "part"), "p_partkey", {"Expiry": F.col("p_size")})
+    reducers.run_retention(w)
+    reducers.run_retention(w)
+    return w.scan(["Expiry"]).select(ID, F.col("Expiry").alias("remaining"))
+
+
+@query
+def snapshot_round_trip(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    snapshot.save(_documents_with_labels(spark, sf_dir), folder)
+    w = snapshot.load(spark, folder)
+    return w.scan(["n_chars", "quality"]).select(ID, "n_chars", "quality")
+
+
+@query
+def lsm_store_scanned(spark, sf_dir):
+    """Four runs of one archetype, compacted: the newest run wins."""
+    store = lsm.LsmStore(spark, f"{shared_folder(spark)}/lsm-{uuid.uuid4().hex}")
+    rows = lsm.newest_wins(read(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("run"), F.col("user_id").alias(ID), F.col("event_id").alias("row_id")), ["run", ID], ["row_id"])
+    for k in range(4):
+        store.add_run("events", rows.where(F.col("run") == k).select(ID, "row_id"), k, k)
+    store.compact_one()
+    return store.scan("events")
+
+
+@query
+def metrics_change(spark, sf_dir):
+    """Differences of two snapshots of a world's metrics."""
+    w = world(spark, sf_dir, "supplier")
+    before = observe.MetricsSnapshot.capture(w)
+    w.despawn(w.scan(["s_nationkey"]).where("s_nationkey = 1").select(ID))
+    d = observe.MetricsDiff.compute(before, observe.MetricsSnapshot.capture(w))
+    return spark.createDataFrame([(d.entity_delta, d.archetype_delta)], "entities bigint, archetypes bigint")
+
+
 # ------------------------------------------------------------ without SQL
 
 
@@ -364,7 +608,8 @@ def gravity_step(spark, sf_dir):
         F.lit(0.0).alias("vel_x"), F.lit(0.0).alias("vel_y"), (1.0 + F.col("n_regionkey")).alias("mass"),
     )
     out = kernels.gravity(rows)
-    return out.select(ID, *[F.round(c, 6).alias(c) for c in ("pos_x", "pos_y", "vel_x", "vel_y")])
+    zero = lambda c: F.when(F.round(c, 6) == 0, 0.0).otherwise(F.round(c, 6)).alias(c)  # noqa: E731  no negative zero
+    return out.select(ID, *[zero(c) for c in ("pos_x", "pos_y", "vel_x", "vel_y")])
 
 
 @query

@@ -3,6 +3,7 @@ name any store that Spark reads."""
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -38,7 +39,11 @@ def move(spark: SparkSession, source: str, target: str) -> None:
     fs, s = _fs(spark, source)
     _, t = _fs(spark, target)
     fs.mkdirs(t.getParent())
-    if not fs.rename(s, t):
+    try:
+        done = fs.rename(s, t)
+    except Py4JJavaError as e:
+        raise OSError(f"{source} could not be renamed to {target}") from e
+    if not done:
         raise OSError(f"{source} could not be renamed to {target}")
 
 

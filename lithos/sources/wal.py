@@ -3,18 +3,22 @@ its sequence number; a folder appears by a rename, so a torn write is no record.
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lithos.errors import CursorBehind, FormatError
 from lithos.operators.changeset import ChangeSet, Mutation
 from lithos.sources import storage
-from lithos.world import World
+from lithos.world import ID, World
 
+#: Records that one replay job reads, and ops that are applied together.
+REPLAY_RECORDS, REPLAY_ROWS = 1_000, 50_000
 SCHEMA = "seq bigint, ord int, op string, entity_id bigint, component string, payload string"
 
 
@@ -29,23 +33,32 @@ class Wal:
 
     def _meta(self) -> dict[str, Any]:
         at = f"{self.path}/_meta.json"
-        return json.loads(storage.read_text(self.spark, at)) if storage.exists(self.spark, at) else {}
+        return json.loads(storage.read_text(self.spark, at)) if storage.settled(self.spark, at) else {}
 
     def _put_meta(self) -> None:
-        storage.write_text(self.spark, f"{self.path}/_meta.json", json.dumps({"next_seq": self.next_seq, "acknowledged": self.acknowledged}))
+        storage.write_text(self.spark, f"{self.path}/_meta.tmp", json.dumps({"next_seq": self.next_seq, "acknowledged": self.acknowledged}))
+        storage.replace(self.spark, f"{self.path}/_meta.tmp", f"{self.path}/_meta.json")
 
     def records(self) -> list[int]:
         """Sequence numbers of the complete records."""
         return sorted(int(n[4:]) for n in storage.listing(self.spark, self.path) if n.startswith("seq=") and n[4:].isdigit())
 
-    def append(self, changes: ChangeSet, world: World) -> int:
+    def append(self, changes: ChangeSet, world: World, frames: Sequence[DataFrame] = ()) -> int:
+        """One record: the ops, then frames of ``entity_id`` and components as
+        inserts, which are written where they are and not gathered."""
         rows = []
         for ord_, m in enumerate(changes):
             for name, value in m.values or ((None, None),):
                 kind = None if name is None else (world.sparse_types if m.op.startswith("sparse") else world.types)[name]
                 rows.append((self.next_seq, ord_, m.op, m.entity, name, None if name is None else json.dumps({"t": kind.jsonValue(), "v": _plain(value)})))
+        parts = [self.spark.createDataFrame(rows, SCHEMA).coalesce(1)] if rows or not frames else []
+        for k, f in enumerate(frames):
+            for c in [c for c in f.columns if c != ID]:
+                value = F.when(F.col(c).isNull(), F.lit('"v":null}')).otherwise(F.expr(f"substring(to_json(struct(`{c}` AS v)), 2)"))
+                payload = F.concat(F.lit('{"t":' + json.dumps(f.schema[c].dataType.jsonValue()) + ","), value)
+                parts.append(f.select(F.lit(self.next_seq).cast("long").alias("seq"), F.lit(len(changes) + k).alias("ord"), F.lit("insert").alias("op"), ID, F.lit(c).alias("component"), payload.alias("payload")))
         tmp = f"{self.path}/_tmp-{self.next_seq}"
-        self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("overwrite").parquet(tmp)
+        functools.reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(tmp)
         storage.replace(self.spark, tmp, f"{self.path}/seq={self.next_seq}")
         self.next_seq += 1
         return self.next_seq - 1
@@ -56,18 +69,21 @@ class Wal:
         return self.spark.read.schema(SCHEMA).parquet(*names) if names else self.spark.createDataFrame([], SCHEMA)
 
     def replay(self, world: World, from_seq: int = 0) -> int:
-        """Apply the records in order; the last number seen, or -1. On an error
-        the world is to be thrown away."""
-        last = -1
-        for seq, changes in self.batches(from_seq):
-            changes.apply(world)
-            last = seq
-        return last
+        """Apply the records in order, many as one change set; the last number
+        seen, or -1. On an error the world is to be thrown away."""
+        numbers = [n for n in self.records() if n >= from_seq]
+        for at in range(0, len(numbers), REPLAY_RECORDS):
+            some = numbers[at : at + REPLAY_RECORDS]
+            rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/seq={n}" for n in some]).orderBy("seq", "ord", "entity_id")
+            # One batch of rows on the driver at a time.
+            for changes in decoded(rows.toLocalIterator(), REPLAY_ROWS):
+                changes.apply(world)
+        return numbers[-1] if numbers else -1
 
     def batches(self, from_seq: int = 0, limit: int | None = None):
         """``(seq, change set)`` of each record, one at a time on the driver."""
         for n in [n for n in self.records() if n >= from_seq][:limit]:
-            rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/seq={n}").orderBy("ord").collect()
+            rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/seq={n}").orderBy("ord", "entity_id").collect()
             yield n, decode(rows)
 
     def checkpoint_needed(self) -> bool:
@@ -94,19 +110,40 @@ def _plain(value: Any) -> Any:
 
 
 def decode(rows) -> ChangeSet:
-    out = ChangeSet()
-    by: dict[int, Mutation] = {}
+    """Ops of rows that are in order."""
+    return next(decoded(rows, None), ChangeSet())
+
+
+def decoded(rows: Iterable[Any], most: int | None) -> Iterator[ChangeSet]:
+    """Change sets of about ``most`` ops, all in one without it."""
+    out, last = ChangeSet(), None
     for r in rows:
         values: tuple = ()
         if r.component is not None:
             p = json.loads(r.payload)
-            kind = T._parse_datatype_json_value(p["t"])
-            v = p["v"]
-            values = ((r.component, tuple(v[n] if isinstance(v, dict) else v[i] for i, n in enumerate(kind.names)) if isinstance(kind, T.StructType) and v is not None else v),)
-        old = by.get(r.ord)
-        by[r.ord] = Mutation(r.op, r.entity_id, (old.values if old else ()) + values)
-    out.ops = [by[k] for k in sorted(by)]
-    return out
+            values = ((r.component, _typed(p.get("v"), T._parse_datatype_json_value(p["t"]))),)
+        here = (r.seq, r.ord, r.entity_id)
+        if here == last:
+            m = out.ops[-1]
+            out.ops[-1] = Mutation(m.op, m.entity, m.values + values)
+            continue
+        if most is not None and len(out) >= most:
+            yield out
+            out = ChangeSet()
+        out.ops.append(Mutation(r.op, r.entity_id, values))
+        last = here
+    if len(out):
+        yield out
+
+
+def _typed(v: Any, kind: T.DataType) -> Any:
+    if v is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return tuple(_typed(v.get(f.name) if isinstance(v, dict) else v[i], f.dataType) for i, f in enumerate(kind.fields))
+    if isinstance(kind, T.ArrayType):
+        return [_typed(x, kind.elementType) for x in v]
+    return float(v) if isinstance(kind, (T.FloatType, T.DoubleType)) else v
 
 
 class WalCursor:

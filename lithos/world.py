@@ -256,6 +256,17 @@ class World:
         hit = functools.reduce(DataFrame.union, parts).join(ids.select(ID), ID, "left_semi").select("_k").distinct().collect()
         return [items[k] for k in sorted(r[0] for r in hit)]
 
+    def locate(self, ids: Iterable[int]) -> dict[int, tuple[str, frozenset[str]]]:
+        """The archetype of each listed id that is alive: one job, at most a row
+        for each id."""
+        items = list(self.archetypes.items())
+        wanted = self._ids(ids)
+        if not items:
+            return {}
+        # As large as the caller's list.
+        parts = [a.frame.select(ID, F.lit(k).alias("_k")).join(F.broadcast(wanted), ID, "left_semi") for k, (_, a) in enumerate(items)]
+        return {r[0]: items[r[1]][0] for r in functools.reduce(DataFrame.union, parts).collect()}
+
     # ----------------------------------------------------------- mutations
 
     def _budget(self, rows: int) -> None:
@@ -274,6 +285,67 @@ class World:
         schema = T.StructType([T.StructField(ID, T.LongType()), *[T.StructField(c, self.types[c]) for c in names]])
         return self.spark.createDataFrame([(r[ID], *[r[c] for c in names]) for r in rows], schema)
 
+    def known(self, components: Iterable[str]) -> None:
+        missing = [c for c in sorted(components) if c not in self.types]
+        if missing:
+            raise UnregisteredComponent(", ".join(missing))
+
+    def admit(self, components: Iterable[str]) -> None:
+        """Room and types for one more entity."""
+        self.known(components)
+        self._budget(1)
+        self.spawned += 1
+
+    def settle(self, states: Mapping[int, Any], sparse: Mapping[str, Mapping[int, tuple[Any, ...]]]) -> None:
+        """Bring the listed entities to their states (see `ChangeSet.apply`):
+        every archetype is edited once, and sparse values are set, or removed
+        where empty."""
+        by_origin: dict[tuple[str, frozenset[str]], dict[int, Any]] = {}
+        born: dict[frozenset[str], list[dict[str, Any]]] = {}
+        for e, s in states.items():
+            if s.origin is not None:
+                by_origin.setdefault(s.origin, {})[e] = s
+            if s.born and s.alive:
+                born.setdefault(s.components, []).append({ID: e, **s.values})
+        for key, mine in by_origin.items():
+            self._edit(key, mine)
+        for components, rows in born.items():
+            self._put(components, self._local(rows, components))
+        for name, values in sparse.items():
+            frame = self.iter_sparse(name).join(F.broadcast(self._ids(values)), ID, "left_anti")  # as large as the change set
+            new = {e: v[0] for e, v in values.items() if v}
+            self.sparse[name] = frame
+            if new:
+                self.insert_sparse(name, new, self.sparse_types[name])
+
+    def _edit(self, key: tuple[str, frozenset[str]], mine: Mapping[int, Any]) -> None:
+        a, (table, old) = self.archetypes[key], key
+        stays = {e: s for e, s in mine.items() if not s.born and s.alive}
+        moves: dict[tuple[frozenset[str], frozenset[str]], list[dict[str, Any]]] = {}
+        for e, s in stays.items():
+            if s.components != old:
+                moves.setdefault((s.components, frozenset(s.values)), []).append({ID: e, **s.values})
+        moved = []
+        for (components, written), rows in moves.items():
+            new = self._local(rows, written).select(ID, *[F.col(c).alias(f"_new_{c}") for c in sorted(written)])
+            both = a.frame.join(F.broadcast(new), ID)  # as large as the change set
+            moved.append((components, cut(both.select(ID, *[F.col(f"_new_{c}" if c in written else c).alias(c) for c in sorted(components)]))))
+        leave = [e for e, s in mine.items() if e not in stays or s.components != old]
+        if leave:
+            a.frame = a.frame.join(F.broadcast(self._ids(leave)), ID, "left_anti")
+            self.touch(a, a.components)
+        updates = {e: s.values for e, s in stays.items() if s.components == old and s.values}
+        if updates:
+            written = sorted({c for v in updates.values() for c in v})
+            # A value in a struct, so that a null that is set differs from none.
+            schema = T.StructType([T.StructField(ID, T.LongType()), *[T.StructField(f"_new_{c}", T.StructType([T.StructField("v", self.types[c])])) for c in written]])
+            new = self.spark.createDataFrame([(e, *[(v[c],) if c in v else None for c in written]) for e, v in updates.items()], schema)
+            both = a.frame.join(F.broadcast(new), ID, "left")
+            a.frame = both.select(ID, *[F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.v")).otherwise(F.col(c)).alias(c) if c in written else F.col(c) for c in sorted(a.components)])
+            self.touch(a, written)
+        for components, rows in moved:
+            self._put(components, rows, table)
+
     def spawn(self, entity: int | None = None, **components: Any) -> int:
         self._budget(1)
         entity = self.allocator.allocate() if entity is None else entity

@@ -89,7 +89,7 @@ def test_transactions_buffer_and_conflict(world):
 
 def test_reducers(world):
     r = reducers.ReducerRegistry()
-    r.register("heal", "query_writer", lambda w, amount: w.modify(Health=F.col("Health") + amount), Mut("Health"))
+    r.register("heal", "query_mut", lambda w, amount: w.modify(Health=F.col("Health") + amount), Mut("Health"))
     r.register("count", "query_ref", lambda rows: rows.count(), "Health")
     r.register("hit", "entity_mut", lambda tx, e: tx.write(e, Health=tx.read(e, "Health") - 1), reads=("Health",), writes=("Health",))
     r.register("bad", "dynamic", lambda tx: tx.write(0, Name="x"), reads=("Health",))
@@ -97,12 +97,105 @@ def test_reducers(world):
         r.register("heal", "query_ref", lambda rows: None)
     r.run(world, "heal", amount=5)
     assert r.run(world, "count") == 3 and world.get(0, "Health") == 5
+    for wrong in (lambda: r.call(Sequential(), world, "heal", amount=1), lambda: r.run(world, "hit", e=0), lambda: r.call(Sequential(), world, "bad"), lambda: r.dynamic_call(Sequential(), world, "hit", e=0)):
+        with pytest.raises(errors.WrongKind):
+            wrong()
     r.call(Optimistic(), world, "hit", e=0)
     assert world.get(0, "Health") == 4
     with pytest.raises(errors.AccessViolation):
         r.dynamic_call(Sequential(), world, "bad")
 
 
+def test_query_writers_are_transactions(world):
+    r = reducers.ReducerRegistry()
+    tries = []
+
+    def body(w, amount):
+        tries.append(1)
+        w.modify(Health=F.col("Health") + amount)
+        if len(tries) < 3:
+            world.insert(1, Health=100 * len(tries))
+
+    r.register("heal", "query_writer", body, Mut("Health"))
+    r.call(Optimistic(3), world, "heal", amount=1)
+    assert len(tries) == 3 and [world.get(i, "Health") for i in range(3)] == [1, 201, 21]
+    tries.clear()
+    with pytest.raises(errors.Conflict):
+        r.call(Optimistic(2), world, "heal", amount=1)
+    p = Pessimistic(2)
+    reap = Access(despawns=True)
+    assert p._acquire(reap) and not p._acquire(Access(reads=frozenset({"Health"})))
+    p._release(reap)
+    tries += [1, 1]
+    r.call(p, world, "heal", amount=1)
+    assert world.get(0, "Health") == 2 and p._held == {}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_change_sets_against_op_by_op(spark, seed):
+    """Random ops, applied together and one by one."""
+    import random
+
+    rng = random.Random(seed)
+
+    def make():
+        w = World(spark)
+        w.register("A", "int")
+        w.register("B", "string")
+        w.sparse_types["S"] = w.types["A"]
+        w.types["S"] = w.types["A"]
+        w.spawn(0, A=1)
+        w.spawn(1, A=2, B="x")
+        w.spawn(2)
+        for i in range(3):
+            w.allocator.observe(i)
+        return w
+
+    alive, ops = {0, 1, 2}, changeset.ChangeSet()
+    for _ in range(14):
+        e = rng.choice(sorted(alive)) if alive and rng.random() < 0.8 else rng.randrange(3, 6)
+        if e not in alive:
+            ops.spawn(e, **rng.choice([{}, {"A": 5}, {"A": 6, "B": None}]))
+            alive.add(e)
+            continue
+        what = rng.randrange(5)
+        if what == 0:
+            ops.despawn(e)
+            alive.discard(e)
+        elif what == 1:
+            ops.insert(e, **rng.choice([{"A": rng.randrange(9)}, {"B": "y"}, {"A": None, "B": "z"}]))
+        elif what == 2:
+            ops.remove(e, rng.choice("AB"))
+        elif what == 3:
+            ops.sparse_insert(e, "S", rng.randrange(9))
+        else:
+            ops.sparse_remove(e, "S")
+    together, single = make(), make()
+    ops.apply(together)
+    for m in ops:
+        one = changeset.ChangeSet()
+        one.ops = [m]
+        one.apply(single)
+    state = lambda w: sorted((tuple(sorted(a.components)), tuple(r)) for a in w.archetypes.values() for r in a.frame.collect())
+    assert repr(state(together)) == repr(state(single))
+    sparse = lambda w: sorted(map(tuple, w.iter_sparse("S").collect()))
+    assert sparse(together) == sparse(single)
+
+
+def test_many_ops_take_few_jobs(world):
+    c = changeset.ChangeSet()
+    for i in range(1000):
+        c.spawn(10 + i, Health=i)
+    for i in range(1000):
+        c.insert(10 + i, Health=-i)
+    tracker = world.spark.sparkContext.statusTracker()
+    world.spark.sparkContext.setJobGroup("many", "many")
+    c.apply(world)
+    jobs = len(tracker.getJobIdsForGroup("many"))
+    world.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 4 and world.get(1009, "Health") == -999 and world.entity_count() == 1003
+
+
 def test_retention(spark):
     w = World(spark)
     w.register("Expiry", "int")

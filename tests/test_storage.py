@@ -150,3 +150,21 @@ def test_crash_in_the_midst_of_a_manifest(spark, tmp_path):
     storage.move(spark, str(tmp_path / "lsm" / "manifest.jsonl"), str(tmp_path / "lsm" / "manifest.jsonl.old"))
     again = lsm.LsmStore(spark, str(tmp_path / "lsm"))
     assert again.runs == store.runs and again.cleanup_orphans() == []
+
+
+def test_query_writers_are_logged_and_recovered(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lithos.operators.reducers import ReducerRegistry
+    from lithos.sources.checkpoint import recover
+    from lithos.world import Mut
+
+    w, wal = make(spark), Wal(spark, str(tmp_path / "log"))
+    strategy, r = Durable(Optimistic(), wal), ReducerRegistry()
+    r.register("grow", "query_writer", lambda q, by: q.modify(A=F.col("A") + by, P=F.col("P")), Mut("A"), Mut("P"))
+    e = strategy.transact(w, lambda tx: tx.spawn(A=1, P=(float("nan"), 2.0)))
+    n = strategy.transact(w, lambda tx: tx.spawn(A=None, P=None))
+    r.call(strategy, w, "grow", by=5)
+    assert wal.records() == [0, 1, 2] and w.get(e, "A") == 6
+    got = recover(spark, str(tmp_path / "none"), Wal(spark, str(tmp_path / "log")), make(spark))
+    assert got.get(e, "A") == 6 and got.get(e, "P").y == 2.0 and got.get(e, "P").x != got.get(e, "P").x and got.get(n, "A") is None and got.get(n, "P") is None
