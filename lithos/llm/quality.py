@@ -5,7 +5,8 @@ all labelled rows by grouped counts. Its probability is evidence about the
 document's host and path (here: source, and source with language): each host's
 mean is shrunk toward the global mean, each path's toward its host's, with
 strengths estimated from the spread of the means. The document's log odds are
-then moved by its path's posterior log odds against the global ones.
+then moved by its path's posterior log odds against the global ones, where the
+path's posterior leaves the document itself out: its evidence counts once.
 
 Sums run over probabilities in whole millionths, so that their order doesn't
 matter. Only SQL functions are used; sparse groups cost one row each.
@@ -79,7 +80,7 @@ def evidence(rows: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", labe
     return rows.withColumn("p_ppm", F.least(F.greatest(F.round(1e6 / (1 + F.exp(-odds))), F.lit(1.0)), F.lit(999999.0)).cast("long"))
 
 
-def _strength(groups: DataFrame, total: Column, within: str, mean: str) -> DataFrame:
+def _strength(groups: DataFrame, within: str, mean: str) -> DataFrame:
     """One row ``k``: the strength of the prior that the spread of the group
     means allows. ``groups`` has n, s (millionths) and the prior mean."""
     spread = F.sum(F.col("n") * (F.col("s") / F.col("n") / 1e6 - F.col(mean)) * (F.col("s") / F.col("n") / 1e6 - F.col(mean))) / F.sum("n")
@@ -91,17 +92,18 @@ def _strength(groups: DataFrame, total: Column, within: str, mean: str) -> DataF
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
-    """Per host and language: ``host_mean``, ``path_mean``, ``global_mean``."""
+    """Per host and language: the global mean ``g``, ``host_mean``, ``path_mean``,
+    and what the last is made of: ``n``, ``s`` (millionths) and ``k2``."""
     paths = scored.groupBy("host", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("p_ppm").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     world = hosts.agg((F.sum("s") / F.sum("n") / 1e6).alias("g"))
     hosts = hosts.crossJoin(F.broadcast(world))  # one row
-    k1 = _strength(hosts, F.col("n"), "k1", "g")
+    k1 = _strength(hosts, "k1", "g")
     hosts = hosts.crossJoin(F.broadcast(k1)).select(F.col("host").alias("h"), "g", ((F.col("s") / 1e6 + F.col("k1") * F.col("g")) / (F.col("n") + F.col("k1"))).alias("host_mean"))
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    k2 = _strength(paths, F.col("n"), "k2", "host_mean")
+    k2 = _strength(paths, "k2", "host_mean")
     return paths.crossJoin(F.broadcast(k2)).select(
-        F.col("host").alias("h"), F.col("lang").alias("l"), "g", "host_mean",
+        F.col("host").alias("h"), F.col("lang").alias("l"), "g", "host_mean", "n", "s", "k2",
         ((F.col("s") / 1e6 + F.col("k2") * F.col("host_mean")) / (F.col("n") + F.col("k2"))).alias("path_mean"),
     )
 
@@ -118,7 +120,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     table = posteriors(scored)
     both = scored.join(table, F.col("host").eqNullSafe(F.col("h")) & F.col("lang").eqNullSafe(F.col("l")))
     p = F.col("p_ppm") / 1e6
-    quality = 1 / (1 + F.exp(-(_logit(p) + _logit(F.col("path_mean")) - _logit(F.col("g")))))
+    others = ((F.col("s") - F.col("p_ppm")) / 1e6 + F.col("k2") * F.col("host_mean")) / (F.col("n") - 1 + F.col("k2"))
+    quality = 1 / (1 + F.exp(-(_logit(p) + _logit(others) - _logit(F.col("g")))))
     return both.select(
         F.col("doc_id").alias(id_col),
         F.round(p, 5).alias("p_doc"),
@@ -155,10 +158,13 @@ k1 AS (SELECT least(greatest(g * (1 - g) / greatest(sum(n * (s / n / 1e6 - g) *
 h2 AS (SELECT host, g, (s / 1e6 + k * g) / (n + k) AS host_mean FROM hosts, w, k1),
 p2 AS (SELECT paths.host, paths.lang, n, s, g, host_mean FROM paths JOIN h2 ON paths.host IS NOT DISTINCT FROM h2.host),
 k2 AS (SELECT least(greatest((sum(n * host_mean * (1 - host_mean)) / sum(n)) / greatest(sum(n * (s / n / 1e6 - host_mean) * (s / n / 1e6 - host_mean)) / sum(n) - sum(host_mean * (1 - host_mean)) / sum(n), 1e-9) - 1, {LEAST_K}), {MOST_K}) AS k FROM p2),
-q AS (SELECT host, lang, g, host_mean, (s / 1e6 + k * host_mean) / (n + k) AS path_mean FROM p2, k2),
+q AS (SELECT host, lang, g, host_mean, n, s, k, (s / 1e6 + k * host_mean) / (n + k) AS path_mean FROM p2, k2),
+o AS (
+  SELECT p.doc_id, ppm, host_mean, path_mean, g, ((s - ppm) / 1e6 + k * host_mean) / (n - 1 + k) AS others
+  FROM p JOIN q ON p.host IS NOT DISTINCT FROM q.host AND p.lang IS NOT DISTINCT FROM q.lang),
 z AS (
-  SELECT p.doc_id, ppm / 1e6 AS pd, host_mean, path_mean,
-    1 / (1 + exp(-(ln(ppm / 1e6 / (1 - ppm / 1e6)) + ln(path_mean / (1 - path_mean)) - ln(g / (1 - g))))) AS quality
-  FROM p JOIN q ON p.host IS NOT DISTINCT FROM q.host AND p.lang IS NOT DISTINCT FROM q.lang)
+  SELECT doc_id, ppm / 1e6 AS pd, host_mean, path_mean,
+    1 / (1 + exp(-(ln(ppm / 1e6 / (1 - ppm / 1e6)) + ln(others / (1 - others)) - ln(g / (1 - g))))) AS quality
+  FROM o)
 SELECT doc_id, round(pd, 5) AS p_doc, round(host_mean, 5) AS p_host, round(path_mean, 5) AS p_path, round(quality, 5) AS quality, quality >= {KEEP} AS keep FROM z
 """
