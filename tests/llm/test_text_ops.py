@@ -259,6 +259,56 @@ def test_secrets_brute_force(spark, awkward, awkward_rows, nothing):
     assert secrets.scan(awkward).count() == awkward.count() and secrets.scan(nothing).count() == 0
 
 
+def brute_random(text, tokenizer):
+    """Runs of credential characters, judged one by one with the tokenizer file."""
+    out, k = [], 0
+    ok = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    ratio = lambda x: len(x) / len(tokenizer.encode(x, add_special_tokens=False).ids)
+    while k < len(text):
+        end = k
+        while end < len(text) and text[end] in ok:
+            end += 1
+        run = text[k:end]
+        if len(run) >= 16:
+            hexa = set(run) <= set("0123456789abcdef") or set(run) <= set("0123456789ABCDEF")
+            digest = hexa and len(run) in (32, 40, 64) or len(run) == 128 and set(run) <= set("0123456789abcdef")
+            groups = [len(x) for x in run.split("-")]
+            uuid = groups == [8, 4, 4, 4, 12] and set(run.lower()) <= set("0123456789abcdef-")
+            number = not any(c.isalpha() for c in run)
+            if not (digest or uuid or number) and ratio(run) < 2.2:
+                parts = [p for p in re.split(r"[_/=+-]+", run)]
+                shape = run[0] not in "_/=+-" and run[-1] not in "_/=+-" and all(re.fullmatch(r"[A-Za-z]+[0-9]*|[0-9]+", p) for p in parts)
+                name = shape and all(w in (w.lower(), w.upper(), w[0].upper() + w[1:].lower()) for w in re.findall("[A-Za-z]+", run))
+                if not name or ratio(run.lower()) < 0.9 * 2.2:
+                    out.append((k, end))
+        k = max(end, k + 1)
+    return out
+
+
+def test_random_spans_brute_force(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = __import__("random").Random(9)
+    pick = lambda chars, n: "".join(rng.choices(chars, k=n))
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdef0123456789", "0123456789", "aAbBcC019+/=_-", "ABCDEF0123456789"]
+    texts = [" ".join(pick(rng.choice(kinds), rng.choice([3, 15, 16, 17, 24, 32, 40, 64])) for _ in range(6)) for _ in range(80)]
+    texts += ["some_long_function_name_here and Internationalization/ofThings", "x" * 20, "_leading_underscore_name_x", "é" + pick(kinds[4], 20) + "é"]
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"))
+    found = 0
+    known = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in secrets.scan(docs).collect():
+        spans = [tuple(x.split(":")) for x in r.spans.split(",") if x]
+        base = [(int(a), int(b)) for k, a, b in spans if k != "random"]
+        want = [s for s in brute_random(known[r.doc_id], tokenizer) if not any(a <= s[0] and s[1] <= b for a, b in base)]
+        assert [(int(a), int(b)) for k, a, b in spans if k == "random"] == want and r.n_random == len(want)
+        found += len(want)
+    assert found > 50
+    clash = secrets.scan(docs.withColumn("spans", docs.doc_id), keep=("doc_id", "spans"))
+    assert clash.columns[:2] == ["doc_id", "spans"] and clash.columns[-1] == "spans"
+
+
 def test_random_strings_are_found_and_names_are_not(spark):
     texts = ["see k9Xq2LmZ8vTr4WbN7cHs1JdF now", "commit 3f786850e387550fdab836ed7e6dc881de23001b", "id 123e4567-e89b-12d3-a456-426614174000", "some_long_function_name_here and internationalization", "4111111111111111"]
     rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
