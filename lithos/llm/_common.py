@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithos.lineage import cut, shared_folder
+from lithos.sources import storage
 
-__all__ = ["BLOCK", "Words", "chunks", "cut", "joined", "mix", "ranked", "shared_folder", "ship", "texts_as_bytes", "window_hashes", "written"]
+__all__ = ["BLOCK", "Tables", "Words", "chunks", "cut", "joined", "mix", "ranked", "shared_folder", "ship", "texts_as_bytes", "window_hashes", "written"]
 
 #: Bytes of text that one numpy block holds; bounds a Python worker's memory.
 BLOCK = 1 << 20
@@ -49,7 +50,26 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lithos_path = path
+    return out
+
+
+class Tables:
+    """Tables written on the way to a result; `drop` deletes all but its own."""
+
+    def __init__(self) -> None:
+        self._all: list[DataFrame] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self._all.append(written(df))
+        return self._all[-1]
+
+    def drop(self, keep: DataFrame) -> None:
+        for t in self._all:
+            if t is not keep:
+                storage.delete(t.sparkSession, t._lithos_path)
+        self._all = [keep]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithos.llm._common import Words, chunks, cut, joined, mix, ship, texts_as_bytes, window_hashes, written
+from lithos.llm._common import Tables, Words, chunks, cut, joined, mix, ship, texts_as_bytes, window_hashes
 
 #: Words are runs of anything but blank, tab, line feed to carriage return.
 IS_WORD = np.ones(256, dtype=bool)
@@ -223,10 +223,10 @@ def _pairs_in_lists(lists: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     return _likely(pairs, sets, k).withColumn("star", F.lit(False))
 
 
-def _split(lists: DataFrame, list_rows: int) -> tuple[DataFrame, DataFrame]:
+def _split(lists: DataFrame, list_rows: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Lists of two to ``list_rows`` members, and longer ones."""
     sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    both = written(lists.join(sizes, "v"))
+    both = tables.write(lists.join(sizes, "v"))
     return both.where(F.col("c") <= list_rows), both.where(F.col("c") > list_rows)
 
 
@@ -250,17 +250,17 @@ def _dealt(index: DataFrame, probe: DataFrame, keys: list[str], member: str, siz
     return index.join(probe, [*keys, "_part"])
 
 
-def _shared(posts: DataFrame) -> DataFrame:
+def _shared(posts: DataFrame, tables: Tables) -> DataFrame:
     """Rows ``a, b, e, na, c, k`` of lists of ``b, e`` that hold different
     components (``c``), with the list's ``size`` and ``left``: how many such
     elements ``a`` has from this one on, rarest first. Two members of different
     components share no others."""
     sizes = posts.groupBy("b", "e").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("_l"), F.max("c").alias("_r")).where("size > 1 AND _l <> _r").select("b", "e", "size")
     order = Window.partitionBy("a", "b").orderBy(F.col("size").desc(), "e")
-    return written(posts.join(sizes, ["b", "e"]).withColumn("left", F.row_number().over(order)))
+    return tables.write(posts.join(sizes, ["b", "e"]).withColumn("left", F.row_number().over(order)))
 
 
-def _near_links(star: DataFrame) -> DataFrame:
+def _near_links(star: DataFrame, tables: Tables) -> DataFrame:
     """Links of members of one star that have little outside its pivot, across
     components, by the size of the symmetric difference.
 
@@ -271,10 +271,10 @@ def _near_links(star: DataFrame) -> DataFrame:
     rows = rows.join(mixed, "b")
     side = lambda x, t: t.select("b", "e", "size", *[F.col(c).alias(f"{c[-1]}{x}" if c != "a" else x) for c in ("a", "na", "c", "k", "left")])
     fits = "cx <> cy AND 3 * greatest(ax, ay) <= 4 * least(ax, ay)"
-    differ = _shared(rows.where("inner").select("a", "b", "na", "c", F.col("m").alias("k"), F.explode("near").alias("e")))
+    differ = _shared(rows.where("inner").select("a", "b", "na", "c", F.col("m").alias("k"), F.explode("near").alias("e")), tables)
     light, heavy = differ.where("7 * left >= 7 * k - na"), differ.where("3 * left >= 3 * k - na")
     meet = _dealt(side("x", light), side("y", heavy), ["b", "e"], "x", "size").where(f"{fits} AND 7 * ky - ay >= 7 * kx - ax AND 14 * least(tx, ty) >= 7 * ky - ay + 7 * kx - ax").select("b", "x", "y")
-    outside = _shared(rows.where("outer").select("a", "b", "na", "c", F.col("out").alias("k"), F.explode(F.expr("slice(near, 1, out)")).alias("e"))).where("4 * left >= 4 * k - na")
+    outside = _shared(rows.where("outer").select("a", "b", "na", "c", F.col("out").alias("k"), F.explode(F.expr("slice(near, 1, out)")).alias("e")), tables).where("4 * left >= 4 * k - na")
     more = _dealt(side("x", outside), side("y", outside), ["b", "e"], "x", "size").where(f"x < y AND {fits} AND greatest(4 * kx - ax, 4 * ky - ay) > 0 AND 4 * least(tx, ty) >= greatest(4 * kx - ax, 4 * ky - ay)").select("b", "x", "y")
     pairs = meet.union(more).select("b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).groupBy("x", "y").agg(F.min("b").alias("b"))
     whole = lambda x: rows.select("b", F.col("a").alias(x), F.col("na").alias(f"n{x}"), F.col("near").alias(f"d{x}"))
@@ -304,32 +304,34 @@ def _far_pairs(lists: DataFrame, sets: DataFrame, k: int) -> DataFrame:
 
 def clusters(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, k: int = SKETCH, list_rows: int = LIST_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """``id, component`` of every representative that links with another."""
+    tables = Tables()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     postings = sets.select("rep", "n", F.posexplode("sketch").alias("place", "v"))
-    cold, lists = _split(postings, list_rows)
+    cold, lists = _split(postings, list_rows, tables)
     hot = lists.groupBy("rep").agg(F.count(F.lit(1)).alias("h")).join(sets.select("rep", F.size("sketch").alias("z")), "rep").where(F.col("h") > HOT_SHARE * F.col("z")).select("rep", "h")
-    hot = written(hot)
+    hot = tables.write(hot)
     lists = lists.where(F.col("place") < HOT_VALUES).join(hot, "rep")
     pairs, known = _pairs_in_lists(cold, sets, k), None
     for turn in range(rounds + 1):
-        todo = written(pairs.unionByName(_stars(lists)) if lists is not None else pairs)
+        todo = tables.write(pairs.unionByName(_stars(lists)) if lists is not None else pairs)
         if known is not None and todo.isEmpty():
             break
-        done = written(_compare(todo, texts))
-        known = merged(known, done.where(_linked()).select("a", "b"))
+        done = tables.write(_compare(todo, texts))
+        known = merged(known, done.where(_linked()).select("a", "b"), tables)
         if lists is None:
             break
         star = _placed(done.where("star"), known)
-        star = written(star.join(star.where("ina <> inb").select("b").distinct(), "b", "left_semi"))
+        star = tables.write(star.join(star.where("ina <> inb").select("b").distinct(), "b", "left_semi"))
         if star.isEmpty():
             break
-        known = merged(known, _near_links(star))
-        far = written(_far_lists(_placed(star.drop("ina", "inb"), known), hot))
+        known = merged(known, _near_links(star, tables), tables)
+        far = tables.write(_far_lists(_placed(star.drop("ina", "inb"), known), hot))
         if far.isEmpty():
             break
-        short, long = _split(far, list_rows)
+        short, long = _split(far, list_rows, tables)
         last = turn + 1 == rounds or long.isEmpty()
         pairs, lists = _far_pairs(short.union(long) if last else short, sets, k), None if last else long
+    tables.drop(known)
     return known
 
 
@@ -339,32 +341,33 @@ def _placed(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ina": F.coalesce("ina", "a"), "inb": F.coalesce("inb", "b")})
 
 
-def merged(known: DataFrame | None, edges: DataFrame) -> DataFrame:
+def merged(known: DataFrame | None, edges: DataFrame, tables: Tables) -> DataFrame:
     """``known`` components after more edges, which are contracted to edges of
     components first."""
     if known is None:
-        return written(components(edges))
-    top = components(_placed(edges, known).select(F.col("ina").alias("a"), F.col("inb").alias("b")))
+        return tables.write(components(edges, tables))
+    top = components(_placed(edges, known).select(F.col("ina").alias("a"), F.col("inb").alias("b")), tables)
     up = top.select(F.col("id").alias("component"), F.col("component").alias("to"))
     old = known.join(up, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-    return written(old.union(top.join(known, "id", "left_anti").select("id", "component")))
+    return tables.write(old.union(top.join(known, "id", "left_anti").select("id", "component")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """``id, component`` for every endpoint of ``a, b``: the smallest reachable
     id, by alternating large and small stars."""
 
     def print_(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tables = tables or Tables()
+    e = tables.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = print_(e)
     while last[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = written(large.join(lows, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v"))).distinct())
+        e = tables.write(large.join(lows, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v"))).distinct())
         now = print_(e)
         if now == last:
             break
