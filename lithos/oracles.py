@@ -242,6 +242,9 @@ SELECT s_suppkey AS entity_id, round(s_acctbal + 100, 2) AS balance FROM supplie
 """,
     "reducer_durable_recovered": """
 SELECT s_suppkey AS entity_id, round(s_acctbal + 100, 2) AS balance FROM supplier
+""",
+    "wal_state_folded": """
+SELECT s_suppkey AS entity_id, round(CASE WHEN s_nationkey = 1 THEN s_acctbal + 1 ELSE s_acctbal END, 2) AS balance FROM supplier
 """,
     "retention_run": """
 SELECT p_partkey AS entity_id, p_size - 2 AS remaining FROM part WHERE p_size > 2

@@ -547,6 +547,16 @@ def reducer_durable_recovered(spark, sf_dir):
     return got.scan(["s_acctbal"]).select(ID, F.round("s_acctbal", 2).alias("balance"))
 
 
+@query
+def wal_state_folded(spark, sf_dir):
+    """Two records of balances; the later one has those of one nation."""
+    w, log = world(spark, sf_dir, "supplier"), wal.Wal(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}")
+    rows = w.scan(["s_acctbal", "s_nationkey"])
+    log.append(changeset.ChangeSet(), w, [rows.select(ID, "s_acctbal")])
+    log.append(changeset.ChangeSet(), w, [rows.where("s_nationkey = 1").select(ID, (F.col("s_acctbal") + 1).alias("s_acctbal"))])
+    return log.state().select(ID, F.round(F.get_json_object("payload", "$.v").cast("double"), 2).alias("balance"))
+
+
 @query
 def retention_run(spark, sf_dir):
     """Two runs over the world."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lithos.errors import CursorBehind, FormatError
-from lithos.operators.changeset import ChangeSet, Mutation
+from lithos.operators.changeset import ChangeSet, Mutation, fold
 from lithos.sources import storage
 from lithos.world import ID, World
 
@@ -68,6 +68,11 @@ class Wal:
         names = [f"{self.path}/seq={n}" for n in self.records() if n >= from_seq]
         return self.spark.read.schema(SCHEMA).parquet(*names) if names else self.spark.createDataFrame([], SCHEMA)
 
+    def state(self, from_seq: int = 0) -> DataFrame:
+        """``entity_id, component, payload`` that the records end in, folded where
+        they are: for logs of entities that the driver need not see."""
+        return fold(self.frame(from_seq))
+
     def replay(self, world: World, from_seq: int = 0) -> int:
         """Apply the records in order, many as one change set; the last number
         seen, or -1. On an error the world is to be thrown away."""
