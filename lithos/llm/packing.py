@@ -137,7 +137,7 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, width: int, end_id: int
 #: Columns that one run of the dynamic program may bring in.
 COLUMNS = 16
 #: Share of the lower bound that the program's value may stay above it.
-GAP = 2e-4
+GAP = 1e-3
 
 
 def _price(duals: np.ndarray, width: int, most: int = COLUMNS) -> tuple[float, list[np.ndarray]]:

@@ -252,7 +252,7 @@ def test_columns_are_priced(monkeypatch):
     for k in (k for f in fits for k in f):
         demand[k] += 700
     patterns = packing.solve(demand, 100)
-    assert calls and sum(n for n, _ in patterns) == 4200 < sum(n for n, _ in packing._greedy(dict(demand), 100))
+    assert calls and 4200 <= sum(n for n, _ in patterns) <= 4206 < sum(n for n, _ in packing._greedy(dict(demand), 100))
 
 
 @pytest.mark.parametrize("which", ["awkward", "data"])
