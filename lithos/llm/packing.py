@@ -137,7 +137,10 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, width: int, end_id: int
 #: Columns that one run of the dynamic program may bring in.
 COLUMNS = 16
 #: Share of the lower bound that the program's value may stay above it.
-GAP = 1e-3
+GAP = 2e-4
+#: Runs of the dynamic program at most: what is left to gain then is a share of
+#: about 1e-3, and the driver's time stays some ten seconds for any corpus.
+PRICINGS = 300
 
 
 def _price(duals: np.ndarray, width: int, most: int = COLUMNS) -> tuple[float, list[np.ndarray]]:
@@ -181,7 +184,7 @@ def solve(demand: dict[int, int], width: int) -> list[tuple[int, dict[int, int]]
     length, so its matrix is triangular. Columns are priced and generated until
     no column gains, or the program's value is proven: rounded up it is that of
     its lower bound (the summed lengths, or the duals over the best price), or
-    above it by a share of ``GAP`` at most."""
+    above it by a share of ``GAP`` at most; or ``PRICINGS`` runs are over."""
     demand = {k: v for k, v in demand.items() if v}
     if not demand:
         return []
@@ -207,8 +210,9 @@ def solve(demand: dict[int, int], width: int) -> list[tuple[int, dict[int, int]]
     least = float((lengths * need).sum()) / width
     # A small extra demand breaks ties in the ratios, so that no basis returns.
     x = np.maximum(x + (inverse * (need * np.random.default_rng(1).uniform(0, 1e-8, m))).sum(axis=1), 0)
-    idle = 0
-    while np.ceil(x.sum() - 1e-6) > np.ceil(least - 1e-6) and x.sum() > least * (1 + GAP):
+    idle = runs = 0
+    while np.ceil(x.sum() - 1e-6) > np.ceil(least - 1e-6) and x.sum() > least * (1 + GAP) and runs < PRICINGS:
+        runs += 1
         duals = np.zeros(width + 1)
         duals[lengths] = np.maximum(inverse.sum(axis=0), 0)
         value, found = _price(duals, width)
