@@ -3,10 +3,13 @@ cutting lineage, and vectorised word hashing over UTF-8 bytes."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -143,17 +146,38 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     return mix(out + np.uint64(length))
 
 
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """The C library's ``malloc_trim``, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker outlives its task, and
+    else keeps what its largest block took until the next one ends."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 * BLOCK) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of text, or
-    one row."""
+    one row. Freed memory goes back to the system after each batch."""
     for batch in batches:
         sizes = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
         lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(sizes), 0)).astype(np.int64)
         part = np.cumsum(lengths) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        del sizes
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+        give_back()
 
 
 def texts_as_bytes(batch: pa.RecordBatch, text: str) -> list[bytes]:

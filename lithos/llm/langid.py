@@ -31,7 +31,9 @@ from lithos.llm._common import chunks, mix, ship
 UND = "und"
 DIMENSIONS = 1024
 _SCALE = 1 << 20
-_GRAMS = 2048
+_GRAMS = 512
+#: Bytes of text that are taken at once; bounds a Python worker's memory.
+BLOCK = 1 << 18
 #: Characters of a text that are taken at once.
 LONG = 1 << 20
 
@@ -121,7 +123,7 @@ def held_out(id_col: str) -> Column:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, text, 1 << 20):
+    for batch in chunks(batches, text, BLOCK):
         for a in range(0, batch.num_rows, 1024):
             yield batch.slice(a, 1024)
 
@@ -156,15 +158,17 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str
     ship(docs.sparkSession)
     langs = list(prototypes)
     table = docs.sparkSession.sparkContext.broadcast(np.stack([prototypes[k] for k in langs]).astype(np.float32) if langs else None)
-    source = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("_text"))
-    kinds = source.dtypes[:-1]
+    # A kept text goes to the workers once.
+    source = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    kinds, source_names = source.dtypes[: len(keep)], source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = table.value
-        for batch in _blocks(batches, "_text"):
+        for batch in _blocks(batches, source_names[at]):
             lang, score = [UND] * batch.num_rows, np.zeros(batch.num_rows)
             if p is not None:
-                vectors = document_vectors(batch.column(len(keep)).to_pylist(), p.shape[1])
+                vectors = document_vectors(batch.column(at).to_pylist(), p.shape[1])
                 cosines = vectors @ p.T
                 best = cosines.argmax(axis=1)
                 some = vectors.any(axis=1)

@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 1 << 19):
             sets = shingle_sets(texts_as_bytes(batch, "text"))
             s1 = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
             s2 = np.array([np.bitwise_xor.reduce(s * _ODD) if len(s) else 0 for s in sets], dtype=np.uint64)
