@@ -39,6 +39,8 @@ component and is kept. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,6 +73,12 @@ SAMPLE = 28
 CLASS = 1.35
 #: Rounds of stars; the lists that the last one leaves are paired in full.
 ROUNDS = 3
+#: Earlier elements that a row of a list names, so that a pair that shares one of
+#: them does not meet again.
+SEEN = 8
+#: Probability that a pair is missed because one of the two stays out of a star,
+#: all of whose values outside the pivot are in short lists; see `_reach`.
+ALONE = 1e-10
 #: Members of a list that one task pairs with the others.
 LIST_PART = 500
 #: Slots of the filter that tells which texts a comparison needs.
@@ -135,7 +143,8 @@ def _log2(x: float) -> int:
 def _apart(x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int, int, list[dict]]:
     """How set ``x`` differs from pivot ``y``: the whole symmetric difference, what
     is outside ``y`` first, if that is little, else nothing; its number; the sampling level (0 for the
-    former); and the elements outside that each level keeps, one in 2 ** level.
+    former); and the elements outside that it keeps, with the last level of each.
+    A level keeps one in 2 ** level, all of them among those of the level before.
 
     A partner lacks at most a quarter of x. So of ``o`` elements outside it holds
     ``o - len(x) / 4``, and both keep ``SAMPLE`` of those at the larger of their
@@ -148,13 +157,35 @@ def _apart(x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> tuple[np.ndarray
     whole = np.concatenate([out, np.setdiff1d(y, x, assume_unique=True)]) if near else out[:0]
     if top < max(level, 1):
         return whole, len(out), level, []
-    kept = mix(out ^ _ODD) >> np.uint64(32)
-    return whole, len(out), level, [{"level": k, "e": e} for k in range(max(level, 1), top + 1) for e in _signed(out[kept < np.uint64(1 << (32 - k))]).tolist()]
+    hashed = mix(out ^ _ODD) >> np.uint64(32)
+    kept = hashed < np.uint64(1 << (32 - max(level, 1)))
+    return whole, len(out), level, [{"level": 32 - h.bit_length(), "e": e} for h, e in zip(hashed[kept].tolist(), _signed(out[kept]).tolist(), strict=True)]
 
 
-def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+@functools.lru_cache(maxsize=4)
+def _reach(k: int) -> list[float]:
+    """By how many sketch values outside its pivot stand in long lists: the share of
+    a set outside the pivot from which a partner is met in a short list.
+
+    Of a union of ``u`` elements the two have ``(share - 1 / 4) * u`` outside the
+    pivot in common. If no short list has those among the ``k`` smallest of the
+    union, they are all counted here; so few are there with a probability of
+    ``ALONE`` at most."""
+    out = []
+    for hot in range(k):
+        low, high = 0.0, 1.0
+        while high - low > 1e-6:
+            p = (low + high) / 2
+            few = sum(math.comb(k, j) * p**j * (1 - p) ** (k - j) for j in range(hot + 1))
+            low, high = (p, high) if few > ALONE else (low, p)
+        out.append(0.25 + high)
+    return [*out, 2.0]
+
+
+def _compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """``a, b, star`` to ``a, b, star, na, nb, both``: exact sizes of the sets and
-    of their intersection; and for stars ``near, out, level, far``: see `_apart`."""
+    of their intersection; and for stars ``near, out, level, far``: see `_apart`,
+    and ``rest``: the sketch of ``a`` without what is in ``b``."""
     spark = pairs.sparkSession
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot("id").alias("slot")).distinct()
@@ -184,8 +215,9 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     "out": pa.array([f[1] for f in found], pa.int32()),
                     "level": pa.array([f[2] for f in found], pa.int32()),
                     "far": pa.array([f[3] for f in found], pa.list_(pa.struct([("level", pa.int32()), ("e", pa.int64())]))),
+                    "rest": pa.array([_signed(x[:k][~m[:k]]) if s else [] for x, m, s in zip(left, inside, stars, strict=True)], pa.list_(pa.int64())),
                 }
-                names = ["a", "b", "star", "na", "nb", "both", "near", "out", "level", "far"]
+                names = ["a", "b", "star", "na", "nb", "both", "near", "out", "level", "far", "rest"]
                 yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
 
     joined_ = (
@@ -193,7 +225,7 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "star", "ta", "tb")
     )
-    return joined_.mapInArrow(run, "a bigint, b bigint, star boolean, na bigint, nb bigint, both bigint, near array<bigint>, out int, level int, far array<struct<level:int,e:bigint>>")
+    return joined_.mapInArrow(run, "a bigint, b bigint, star boolean, na bigint, nb bigint, both bigint, near array<bigint>, out int, level int, far array<struct<level:int,e:bigint>>, rest array<bigint>")
 
 
 def _linked(a: str = "na", b: str = "nb", both: str = "both"):
@@ -251,13 +283,13 @@ def _dealt(index: DataFrame, probe: DataFrame, keys: list[str], member: str, siz
 
 
 def _shared(posts: DataFrame, tables: Tables) -> DataFrame:
-    """Rows ``a, b, e, na, c, k`` of lists of ``b, e`` that hold different
+    """Rows ``a, b, e, na, c, k, s`` of lists of ``b, e`` that hold different
     components (``c``), with the list's ``size`` and ``left``: how many such
     elements ``a`` has from this one on, rarest first. Two members of different
-    components share no others."""
+    components share no others. ``p`` has the elements just before this one."""
     sizes = posts.groupBy("b", "e").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("_l"), F.max("c").alias("_r")).where("size > 1 AND _l <> _r").select("b", "e", "size")
     order = Window.partitionBy("a", "b").orderBy(F.col("size").desc(), "e")
-    return tables.write(posts.join(sizes, ["b", "e"]).withColumn("left", F.row_number().over(order)))
+    return tables.write(posts.join(sizes, ["b", "e"]).withColumns({"left": F.row_number().over(order), "p": F.collect_list("e").over(order.rowsBetween(1, SEEN))}))
 
 
 def _near_links(star: DataFrame, tables: Tables) -> DataFrame:
@@ -265,16 +297,20 @@ def _near_links(star: DataFrame, tables: Tables) -> DataFrame:
     components, by the size of the symmetric difference.
 
     Where both have at most a quarter outside, they meet by what differs; else
-    by what is outside alone, of which they share all but a quarter of the set."""
+    by what is outside alone, of which they share all but a quarter of the set.
+    Two members of several stars (``s``) meet in the first of these alone, and there
+    not again at an element if they share one just before it: whatever allows two to
+    meet at an element allows it at each one before."""
     rows = star.where("size(near) > 0").select("a", "b", "na", F.col("ina").alias("c"), "near", F.size("near").alias("m"), "out", (4 * F.col("out") <= F.col("na")).alias("inner"))
     mixed = rows.groupBy("b").agg((F.min("c") != F.max("c")).alias("mixed"), F.max(~F.col("inner")).alias("outer")).where("mixed").select("b", "outer")
     rows = rows.join(mixed, "b")
-    side = lambda x, t: t.select("b", "e", "size", *[F.col(c).alias(f"{c[-1]}{x}" if c != "a" else x) for c in ("a", "na", "c", "k", "left")])
-    fits = "cx <> cy AND 3 * greatest(ax, ay) <= 4 * least(ax, ay)"
-    differ = _shared(rows.where("inner").select("a", "b", "na", "c", F.col("m").alias("k"), F.explode("near").alias("e")), tables)
+    rows = tables.write(rows.join(rows.groupBy("a").agg(F.collect_set("b").alias("s")), "a"))
+    side = lambda x, t: t.select("b", "e", "size", *[F.col(c).alias(f"{c[-1]}{x}" if c != "a" else x) for c in ("a", "na", "c", "k", "left", "s", "p")])
+    fits = "cx <> cy AND b = array_min(array_intersect(sx, sy)) AND NOT arrays_overlap(px, py) AND 3 * greatest(ax, ay) <= 4 * least(ax, ay)"
+    differ = _shared(rows.where("inner").select("a", "b", "na", "c", "s", F.col("m").alias("k"), F.explode("near").alias("e")), tables)
     light, heavy = differ.where("7 * left >= 7 * k - na"), differ.where("3 * left >= 3 * k - na")
     meet = _dealt(side("x", light), side("y", heavy), ["b", "e"], "x", "size").where(f"{fits} AND 7 * ky - ay >= 7 * kx - ax AND 14 * least(tx, ty) >= 7 * ky - ay + 7 * kx - ax").select("b", "x", "y")
-    outside = _shared(rows.where("outer").select("a", "b", "na", "c", F.col("out").alias("k"), F.explode(F.expr("slice(near, 1, out)")).alias("e")), tables).where("4 * left >= 4 * k - na")
+    outside = _shared(rows.where("outer").select("a", "b", "na", "c", "s", F.col("out").alias("k"), F.explode(F.expr("slice(near, 1, out)")).alias("e")), tables).where("4 * left >= 4 * k - na")
     more = _dealt(side("x", outside), side("y", outside), ["b", "e"], "x", "size").where(f"x < y AND {fits} AND greatest(4 * kx - ax, 4 * ky - ay) > 0 AND 4 * least(tx, ty) >= greatest(4 * kx - ax, 4 * ky - ay)").select("b", "x", "y")
     pairs = meet.union(more).select("b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).groupBy("x", "y").agg(F.min("b").alias("b"))
     whole = lambda x: rows.select("b", F.col("a").alias(x), F.col("na").alias(f"n{x}"), F.col("near").alias(f"d{x}"))
@@ -284,21 +320,27 @@ def _near_links(star: DataFrame, tables: Tables) -> DataFrame:
 
 
 def _far_lists(star: DataFrame, hot: DataFrame) -> DataFrame:
-    """Lists of members of a star that share a sampled element outside its pivot:
-    ``v, rep, n, h, level, own, part_of``."""
-    # Levels at which a star has far members; the others need no list.
-    levels = star.where("level > 0").groupBy("b").agg(F.collect_set("level").alias("levels"))
-    star = star.join(levels, "b").withColumn("far", F.filter("far", lambda p: F.array_contains("levels", p["level"])))
-    posts = star.select("a", "b", "na", "ina", F.col("level").alias("own"), F.explode("far").alias("p"))
-    posts = posts.select(F.xxhash64("b", "p.level", "p.e").alias("v"), F.col("a").alias("rep"), F.col("na").alias("n"), F.col("ina").alias("part_of"), F.col("p.level").alias("level"), "own")
-    useful = posts.groupBy("v").agg(F.min("part_of").alias("l"), F.max("part_of").alias("r"), F.max(F.col("own") == F.col("level")).alias("met")).where("l <> r AND met").select("v")
-    return posts.join(useful, "v", "left_semi").join(hot, "rep")
+    """Lists of members of stars that share a sampled element outside their pivots:
+    ``v, rep, n, h, level, own, part_of``. ``level`` is the element's last one. What a
+    member keeps in several stars is listed once."""
+    # The least level of a star's far members; the others keep nothing denser.
+    least = star.where("level > 0").groupBy("b").agg(F.min("level").alias("least"))
+    star = star.join(least, "b").where(F.col("out") >= F.lit(SAMPLE) * F.pow(F.lit(2), "least"))
+    star = star.withColumn("far", F.filter("far", lambda p: p["level"] >= F.col("least")))
+    once = star.groupBy("a", "na", "ina").agg(F.max("level").alias("own"), F.array_distinct(F.flatten(F.collect_list("far"))).alias("far"))
+    posts = once.select("a", "na", "ina", "own", F.explode("far").alias("p"))
+    posts = posts.select(F.col("p.e").alias("v"), F.col("a").alias("rep"), F.col("na").alias("n"), F.col("ina").alias("part_of"), F.col("p.level").alias("level"), "own")
+    useful = posts.groupBy("v").agg(F.min("part_of").alias("l"), F.max("part_of").alias("r"), F.max("own").alias("far")).where("l <> r AND far > 0").select("v")
+    return posts.join(useful, "v", "left_semi").join(hot.select("rep", "h"), "rep")
 
 
 def _far_pairs(lists: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """Pairs of each of those lists that may link, across components."""
-    side = lambda x: lists.select("v", F.col("c").alias("size"), "level", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("part_of").alias(f"c{x}"), F.col("own").alias(f"o{x}"))
-    pairs = _dealt(side("a"), side("b"), ["v", "level"], "a", "size").where("a < b AND ca <> cb AND level = greatest(oa, ob) AND 3 * greatest(na, nb) <= 4 * least(na, nb)")
+    """Pairs of each of those lists that may link, across components. Two that share
+    one of the lists just before, of sparser levels first, do not meet again."""
+    order = Window.partitionBy("rep").orderBy(F.col("level").desc(), "v").rowsBetween(-SEEN, -1)
+    lists = lists.withColumn("p", F.collect_list("v").over(order))
+    side = lambda x: lists.select("v", F.col("c").alias("size"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("part_of").alias(f"c{x}"), F.col("own").alias(f"o{x}"), F.col("p").alias(f"p{x}"))
+    pairs = _dealt(side("a"), side("b"), ["v"], "a", "size").where("a < b AND ca <> cb AND greatest(oa, ob) > 0 AND NOT arrays_overlap(pa, pb) AND 3 * greatest(na, nb) <= 4 * least(na, nb)")
     return _likely(pairs.select("a", "b").distinct(), sets, k).withColumn("star", F.lit(False))
 
 
@@ -308,19 +350,22 @@ def clusters(docs: DataFrame, sets: DataFrame, *, id_col: str, text_col: str, k:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     postings = sets.select("rep", "n", F.posexplode("sketch").alias("place", "v"))
     cold, lists = _split(postings, list_rows, tables)
-    hot = lists.groupBy("rep").agg(F.count(F.lit(1)).alias("h")).join(sets.select("rep", F.size("sketch").alias("z")), "rep").where(F.col("h") > HOT_SHARE * F.col("z")).select("rep", "h")
+    hot = lists.groupBy("rep").agg(F.count(F.lit(1)).alias("h"), F.collect_list("v").alias("hots")).join(sets.select("rep", F.size("sketch").alias("z")), "rep").where(F.col("h") > HOT_SHARE * F.col("z")).select("rep", "h", "hots")
     hot = tables.write(hot)
-    lists = lists.where(F.col("place") < HOT_VALUES).join(hot, "rep")
+    lists = lists.where(F.col("place") < HOT_VALUES).join(hot.select("rep", "h"), "rep")
     pairs, known = _pairs_in_lists(cold, sets, k), None
     for turn in range(rounds + 1):
         todo = tables.write(pairs.unionByName(_stars(lists)) if lists is not None else pairs)
         if known is not None and todo.isEmpty():
             break
-        done = tables.write(_compare(todo, texts))
+        done = tables.write(_compare(todo, texts, k))
         known = merged(known, done.where(_linked()).select("a", "b"), tables)
         if lists is None:
             break
-        star = _placed(done.where("star"), known)
+        star = done.where("star").join(hot.select(F.col("rep").alias("a"), "hots"), "a")
+        reach = F.get(F.array(*map(F.lit, _reach(k))), F.size(F.array_intersect("rest", "hots")))
+        star = star.where(F.col("out") < reach * F.col("na")).drop("rest", "hots")
+        star = _placed(star, known)
         star = tables.write(star.join(star.where("ina <> inb").select("b").distinct(), "b", "left_semi"))
         if star.isEmpty():
             break
